@@ -18,6 +18,11 @@ def flag(condition: Column) -> Column:
     return F.when(condition, 1).otherwise(0)
 
 
+def has_item(items: list[int]) -> Column:
+    """``itemid`` is one of a code list; one expression, however long the list."""
+    return F.expr(f"itemid in ({', '.join(str(i) for i in items)})")
+
+
 def any_positive(names: list[str]) -> Column:
     return reduce(or_, [F.col(n) > 0 for n in names])
 
@@ -56,7 +61,7 @@ def is_crystalloid_bolus() -> Column:
         (F.col("rate") > 8.3) & (F.col("rateuom") == "mL/min")
     )
     return (
-        F.col("itemid").isin(codes.CRYSTALLOID_ITEMS)
+        has_item(codes.CRYSTALLOID_ITEMS)
         & large
         & ((F.col("ordercategorydescription") == "Bolus") | fast)
     )
@@ -64,7 +69,7 @@ def is_crystalloid_bolus() -> Column:
 
 def is_colloid_bolus() -> Column:
     return (
-        F.col("itemid").isin(codes.COLLOID_ITEMS)
+        has_item(codes.COLLOID_ITEMS)
         & (F.col("amount") > 100)
         & ((F.col("rateuom") == "mL/min") | (F.col("rate") > 250))
     )

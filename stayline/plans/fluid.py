@@ -15,6 +15,7 @@ from ..functions import codes
 from ..functions.clinical import (
     colloid_amount,
     crystalloid_amount,
+    has_item,
     is_colloid_bolus,
     is_crystalloid_bolus,
     millilitres,
@@ -46,7 +47,7 @@ def input_totals(inputevents: DataFrame, lengths: DataFrame) -> DataFrame:
     'bolus' (one row per stay and start minute, ``place`` = offset).
     """
     rows = (
-        inputevents.filter(F.col("itemid").isin(codes.INTAKE_ITEMS))
+        inputevents.filter(has_item(codes.INTAKE_ITEMS))
         .join(lengths, "stay_id")
         .withColumn("start_offset", offset_of("starttime"))
         .withColumn("end_offset", offset_of("endtime"))
@@ -70,7 +71,7 @@ def boluses(
     """
     items = codes.CRYSTALLOID_ITEMS + codes.COLLOID_ITEMS
     rows = (
-        inputevents.filter(F.col("itemid").isin(items))
+        inputevents.filter(has_item(items))
         .join(stays.select("stay_id", "intime_hr"), "stay_id")
         .withColumn("start_offset", offset_of("starttime"))
         .withColumn("end_offset", offset_of("endtime"))
@@ -107,12 +108,12 @@ def _part(kind, place, amount, rate=None, colloid=None, crystalloid_rows=0, coll
 def _intake_part() -> Column:
     amount = millilitres(F.col("amount"), F.col("amountuom"), microlitres=True)
     rate = millilitres_per_hour(F.col("rate"), F.col("rateuom"), F.col("patientweight"))
-    return F.when(F.col("itemid").isin(codes.INTAKE_ITEMS), _part("intake", F.col("orderid"), amount, rate))
+    return F.when(has_item(codes.INTAKE_ITEMS), _part("intake", F.col("orderid"), amount, rate))
 
 
 def _blood_part() -> Column:
     rate = F.when(F.col("rateuom") == "mL/min", F.col("rate") * 60).otherwise(F.col("rate"))
-    given = F.col("itemid").isin(codes.BLOOD_ITEMS) & (F.col("starttime") > F.col("intime_hr"))
+    given = has_item(codes.BLOOD_ITEMS) & (F.col("starttime") > F.col("intime_hr"))
     part = _part("blood", F.col("orderid"), numeric(F.col("amount")), numeric(rate))
     return F.when(given, part)
 
@@ -162,14 +163,14 @@ def urine_points(urine_output: DataFrame) -> DataFrame:
 
 def output_points(outputevents: DataFrame, items: list[int]) -> DataFrame:
     value = signed(numeric(F.col("value")), F.col("itemid"), codes.IRRIGANT_IN_ITEM)
-    return outputevents.filter(F.col("itemid").isin(items)).select(
+    return outputevents.filter(has_item(items)).select(
         "stay_id", "charttime", F.lit("output").alias("kind"), value.alias("value")
     )
 
 
 def dialysis_points(chartevents: DataFrame) -> DataFrame:
     value = signed(numeric_text(F.col("value")), F.col("itemid"), codes.DIALYSATE_IN_ITEM)
-    return chartevents.filter(F.col("itemid").isin(codes.DIALYSIS_ITEMS)).select(
+    return chartevents.filter(has_item(codes.DIALYSIS_ITEMS)).select(
         "stay_id", "charttime", F.lit("dialysis").alias("kind"), value.alias("value")
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codes
-from ..functions.clinical import offset_of
+from ..functions.clinical import has_item, offset_of
 from ..functions.numbers import NUMERIC, numeric
 from ..operators.grid import spread, with_length
 from ..operators.intervals import stabbed_minutes
@@ -22,7 +22,7 @@ def infusions(inputevents: DataFrame, lengths: DataFrame) -> DataFrame:
     ``lengths`` is ``with_length(stays)``; the length of stay rides along as ``los_min``.
     """
     names = F.create_map(*[F.lit(x) for pair in codes.PRESSOR_ITEMS.items() for x in pair])
-    rows = inputevents.filter(F.col("itemid").isin(list(codes.PRESSOR_ITEMS))).withColumn(
+    rows = inputevents.filter(has_item(list(codes.PRESSOR_ITEMS))).withColumn(
         "drug", F.element_at(names, F.col("itemid").cast("int"))
     )
     for drug, limit in codes.RATE_BELOW.items():

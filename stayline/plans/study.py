@@ -80,7 +80,7 @@ def cohort_panel(tables: Tables, built: Tables, base: DataFrame, sink: Sink = ke
 
     e = events(tables, base)
     episodes = {n: sink(f"episodes_{n}", rows) for n, rows in e["episodes"].items()}
-    first = cohort.first_procedure(base, built["tte"])
+    first = sink("first_procedure", cohort.first_procedure(base, built["tte"]))
     after = cohort.after_procedure(
         first, e["bolus"], episodes, e["diuretic"], e["rate_control"], e["monitor"]
     )

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.codes import MONITOR_MEASURES
 
@@ -79,9 +81,10 @@ def read_parquet(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 def read_catalog(spark: SparkSession, names: dict[str, str] | None = None) -> dict[str, DataFrame]:
     """All input tables from the catalog; ``names`` maps a table to its catalog name."""
     names = names or {}
-    return {
-        table: spark.table(names.get(table, table)).selectExpr(
-            *[f"cast({c.split()[0]} as {c.split()[1]}) as {c.split()[0]}" for c in schema.split(", ")]
-        )
-        for table, schema in ((t, s.replace(",  ", ", ")) for t, s in SCHEMAS.items())
-    }
+    return {table: typed(spark.table(names.get(table, table)), table) for table in SCHEMAS}
+
+
+def typed(df: DataFrame, table: str) -> DataFrame:
+    """The columns of an input table with their expected types."""
+    fields = StructType.fromDDL(SCHEMAS[table]).fields
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
