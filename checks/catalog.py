@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayline.functions import codes
@@ -15,7 +15,7 @@ from stayline.session import tune
 from stayline.sources.stages import Stages
 
 from . import oracles
-from .standins import Tables
+from .standins import Tables, clinical_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,7 +27,7 @@ def query(body: str):
 
     def register(build: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return build(Tables(tune(spark), folder))
+            return build(clinical_tables(tune(spark), folder))
 
         QUERIES[build.__name__] = run
         ORACLES[build.__name__] = oracles.sql(body)
@@ -40,6 +40,11 @@ def doubles(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("double") for n in names})
 
 
+def six(value: Column) -> Column:
+    """Six decimals, nudged off exact halves so that both engines round alike."""
+    return F.round(value + 0.000000033, 6)
+
+
 def lengths(t: Tables) -> DataFrame:
     return with_length(t["icustay_times"])
 
@@ -65,9 +70,10 @@ def infusion_extract(t):
 _RATES = [*codes.PRESSORS, "vasopressor_rate"]
 
 
-@query(f"select stay_id, hr, {', '.join(f'cast({d} as double) as {d}' for d in _RATES)} from pressor_hours")
+@query(f"select stay_id, hr, {', '.join(f'{oracles.six(d)} as {d}' for d in _RATES)} from pressor_hours")
 def rate_hourly_mean(t):
-    return doubles(pressor.hourly(t["inputevents"], t["icustay_times"]), *_RATES)
+    hourly = pressor.hourly(t["inputevents"], t["icustay_times"])
+    return hourly.withColumns({d: six(F.col(d)) for d in _RATES})
 
 
 @query("select * from pressor_days")
@@ -133,16 +139,15 @@ def order_rollup(t):
 
 
 @query(
-    """select stay_id, s as start_offset, e as end_offset, cast(amount as double) as amount,
-        round(cast(rate as double), 4) as rate, minute_amount, voids
+    f"""select stay_id, s as start_offset, e as end_offset, cast(amount as double) as amount,
+        {oracles.six('rate')} as rate, minute_amount, voids
     from voids join (select stay_id, o as e, cast(sum(value) as double) as minute_amount, count(*) as voids
         from urine_points group by stay_id, o) m using (stay_id, e)
     where place = 1"""
 )
 def void_rate(t):
     rows = fluid.void_intervals(t["urine_output"], lengths(t)).drop("los_min")
-    rows = doubles(rows, "amount", "rate", "minute_amount")
-    return rows.withColumn("rate", F.round("rate", 4))
+    return rows.withColumn("rate", six(F.col("rate")))
 
 
 def _charted(rows: DataFrame, t) -> DataFrame:
@@ -201,7 +206,7 @@ def hour_bolus(t):
 
 def _shares(rows: DataFrame) -> DataFrame:
     sums = rows.groupBy("stay_id", "hr").agg(F.sum("value").alias("value"))
-    return sums.withColumn("value", sixtieths(F.col("value")))
+    return sums.withColumn("value", six(sixtieths(F.col("value"))))
 
 
 def _prorated_orders(t, kind: str) -> DataFrame:
@@ -209,17 +214,17 @@ def _prorated_orders(t, kind: str) -> DataFrame:
     return _shares(fluid.hour_shares(given, F.col("amount") * 60))
 
 
-@query("select stay_id, hr, cast(v as double) / 60 as value from hour_intake")
+@query(f"select stay_id, hr, {oracles.six('v / 60')} as value from hour_intake")
 def prorate_intake(t):
     return _prorated_orders(t, "intake")
 
 
-@query("select stay_id, hr, cast(v as double) / 60 as value from hour_blood")
+@query(f"select stay_id, hr, {oracles.six('v / 60')} as value from hour_blood")
 def prorate_blood(t):
     return _prorated_orders(t, "blood")
 
 
-@query("select stay_id, hr, cast(v as double) / 60 as value from hour_void")
+@query(f"select stay_id, hr, {oracles.six('v / 60')} as value from hour_void")
 def prorate_void(t):
     voids = fluid.void_intervals(t["urine_output"], lengths(t))
     return _shares(fluid.hour_shares(voids, F.lit(0)))

@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 from stayline.functions.codes import MONITOR_MEASURES
+from stayline.sources.stages import Stages
 from stayline.sources.tables import typed
 
 
@@ -272,26 +274,47 @@ DUCKDB = definitions(Dialect(spark=False))
 
 
 class Tables(dict):
-    """The clinical tables as DataFrames over the driver tables in ``folder``, made on demand."""
+    """The clinical tables, derived by Spark from all rows of the driver tables in ``folder``.
+
+    Each table is written as Parquet when first asked for and read back, so the queries
+    start from a scan as they would on real clinical tables.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         super().__init__()
-        self.spark, self.folder, self.seen = spark, folder, set()
+        self.spark, self.folder = spark, folder
         self.parts = definitions(Dialect(spark=True))
+        self.written = Stages(spark)
+        for source in SOURCES:
+            spark.read.parquet(f"{folder}/{source}.parquet").createOrReplaceTempView(
+                f"driver_{source}"
+            )
 
     def __missing__(self, name: str) -> DataFrame:
-        text = with_clause(self.parts, f"select * from {name}")
-        for source in SOURCES:
-            # the driver tables come in under a view name of their own
-            if re.search(rf"\b{source}\b", text):
-                view = f"driver_{source}"
-                if source not in self.seen:
-                    self.seen.add(source)
-                    self.spark.read.parquet(f"{self.folder}/{source}.parquet").createOrReplaceTempView(view)
-                text = re.sub(rf"\b{source}\b", view, text)
-        self[name] = typed(self.spark.sql(text), name)
+        if name in ("ev", "st"):
+            made = self.written(name, self.derive(name))
+            made.createOrReplaceTempView(f"driver_{name}")
+            self[name] = made
+        else:
+            self[name] = self.written(name, typed(self.derive(name), name))
         return self[name]
 
+    def derive(self, name: str) -> DataFrame:
+        text = self.parts[name]
+        inputs = {"ev0": self.parts["ev0"]} if name == "ev" else {}
+        text = with_clause(inputs, text)
+        for source in [*SOURCES, "ev", "st"]:
+            if re.search(rf"(from|join) {source}\b", text):
+                if source not in SOURCES:
+                    self[source]
+                text = re.sub(rf"(from|join) {source}\b", rf"\1 driver_{source} {source}", text)
+        return self.spark.sql(text)
+
+
+@lru_cache(maxsize=4)
+def clinical_tables(spark: SparkSession, folder: str) -> Tables:
+    return Tables(spark, folder)
+
 
 SOURCES = ["events", "orders", "lineitem"]
 NAMES = [n for n in DUCKDB if n not in ("ev0", "ev", "st")]

@@ -77,12 +77,12 @@ def is_colloid_bolus() -> Column:
 
 def crystalloid_amount(whole_rows: bool = False) -> Column:
     ml = millilitres(F.col("amount"), F.col("amountuom"), microlitres=False)
-    return F.round(ml, 0) if whole_rows else ml
+    return whole(ml).cast("double") if whole_rows else ml
 
 
 def colloid_amount(whole_rows: bool = False) -> Column:
     ml = numeric(F.col("amount"))
-    return F.round(ml, 0) if whole_rows else ml
+    return whole(ml).cast("double") if whole_rows else ml
 
 
 # --- identity and outcome ----------------------------------------------------------
@@ -155,12 +155,11 @@ def furosemide_equivalent() -> Column:
     """Dose in whole mg of furosemide; 0 for an infusion, whose dose is a rate."""
     drug, dose = F.col("drug"), numeric_text(F.col("dose_val_rx"))
     factor = (
-        F.when(drug.isin(codes.LOOP_DIURETICS), F.lit("1"))
-        .when(drug.isin(codes.BUMETANIDE), F.lit(codes.BUMETANIDE_FACTOR))
-        .when(drug.isin(codes.ETHACRYNATE), F.lit(codes.ETHACRYNATE_FACTOR))
-        .cast("decimal(3,1)")
+        F.when(drug.isin(codes.LOOP_DIURETICS), 1.0)
+        .when(drug.isin(codes.BUMETANIDE), codes.BUMETANIDE_FACTOR)
+        .when(drug.isin(codes.ETHACRYNATE), codes.ETHACRYNATE_FACTOR)
     )
-    return whole(F.when(is_infused_diuretic(), numeric(F.lit(0))).otherwise(numeric(dose * factor)))
+    return whole(F.when(is_infused_diuretic(), 0.0).otherwise(dose * factor))
 
 
 # --- combined state ----------------------------------------------------------------

@@ -147,8 +147,8 @@ LOOP_DIURETICS = [
 ]
 BUMETANIDE = ["Bume", "Bumet", "Bumeta", "Bumetan", "Bumetanid", "Bumetanide", "bumex"]
 ETHACRYNATE = ["Ethacrynate Sodium", "Ethacrynic Acid"]
-BUMETANIDE_FACTOR = "20"
-ETHACRYNATE_FACTOR = "0.4"
+BUMETANIDE_FACTOR = 20.0
+ETHACRYNATE_FACTOR = 0.4
 
 # Rate control.  In the published lists three pairs of names run together, so the joined
 # names match nothing; metoCLOPramide is listed among the beta blockers.

@@ -24,28 +24,22 @@ def overlapped_buckets(
     return spread(df, first_hit, last_hit, name)
 
 
-def minutes(count: Column) -> Column:
-    """A whole number of minutes as INT: decimal(24,9) x INT still fits with all decimals."""
-    return count.cast("int")
-
-
 def rate_minutes(
     start: Column, end: Column, low: Column, high: Column, rate: Column, inside: Column,
     no_rate: Column,
 ) -> Column:
     """Share of an interval in the bucket ``[low, high]``, as amount x 60.
 
-    Whole hours of a rate are minutes x rate / 60; leaving the division to the very end
-    keeps the sums exact.  ``inside`` is the value for an interval that lies in the bucket,
+    A share of a rate is minutes x rate / 60; the division is left to the very end.  ``inside`` is the value for an interval that lies in the bucket,
     ``no_rate`` the one for an interval without a rate.
     """
     begins, ends = start >= low, end <= high
     return (
         F.when(rate.isNull(), no_rate)
         .when(begins & ends, inside)
-        .when(begins, minutes(high - start) * rate)
-        .when(ends, minutes(end - low) * rate)
-        .otherwise(minutes(high - low) * rate)
+        .when(begins, (high - start) * rate)
+        .when(ends, (end - low) * rate)
+        .otherwise((high - low) * rate)
     )
 
 

@@ -50,10 +50,10 @@ def ordered_pivot(
     return placed.groupBy(key).agg(*cells)
 
 
-def by_day(day: Column, value: Column, days: int, name: str, aggregate=F.max) -> list[Column]:
-    """Aggregates ``d1_<name> .. d<days>_<name>`` of ``value`` where ``day`` is 0, 1, ..."""
+def by_day(day: str, value: str, days: int, name: str) -> list[Column]:
+    """Aggregates ``d1_<name> .. d<days>_<name>``: highest ``value`` where ``day`` is 0, 1, ..."""
     return [
-        aggregate(F.when(day == d, value)).alias(f"d{d + 1}_{name}") for d in range(days)
+        F.expr(f"max(case when {day} = {d} then {value} end) as d{d + 1}_{name}") for d in range(days)
     ]
 
 

@@ -23,20 +23,13 @@ from ..functions.clinical import (
     offset_of,
     signed,
 )
-from ..functions.numbers import NUMERIC, numeric, numeric_text, sixtieths, whole, whole_even, zero
+from ..functions.numbers import numeric, numeric_text, sixtieths, whole, whole_even, zero
 from ..functions.timing import DAY, HOUR, bucket_from, bucket_upto, rounded_units
 from ..operators.grid import hour_grid, spread, with_length
-from ..operators.intervals import minutes, overlapped_buckets, rate_minutes
+from ..operators.intervals import overlapped_buckets, rate_minutes
 from ..operators.shape import by_day, total
 from ..operators.timeline import running_sum
 
-# wide enough for sums of amount x 60, and narrow enough that products keep all decimals
-EXACT = "decimal(28,9)"
-
-
-def _exact(value: Column) -> Column:
-    return value.cast(EXACT)
-
 
 # --- intake ------------------------------------------------------------------------
 
@@ -81,19 +74,17 @@ def boluses(
 
 
 def bolus_sums(totals: DataFrame) -> DataFrame:
-    crystalloid = F.col("amount") * F.greatest("colloid_rows", F.lit(1))
-    colloid = F.col("colloid") * F.greatest("crystalloid_rows", F.lit(1))
     return totals.filter(F.col("kind") == "bolus").select(
         "stay_id",
         F.col("place").alias("bolus_offset"),
-        _exact(crystalloid).alias("cristalloid_bolus"),
-        _exact(colloid).alias("colloid_bolus"),
+        _crystalloid().alias("cristalloid_bolus"),
+        _colloid().alias("colloid_bolus"),
         "los_min",
     )
 
 
 def _part(kind, place, amount, rate=None, colloid=None, crystalloid_rows=0, colloid_rows=0):
-    empty = F.lit(None).cast(NUMERIC)
+    empty = F.lit(None).cast("double")
     return F.struct(
         F.lit(kind).alias("kind"),
         place.cast("bigint").alias("place"),
@@ -143,11 +134,11 @@ def _grouped(rows: DataFrame, parts: list[Column]) -> DataFrame:
         .agg(
             F.min("start_offset").alias("start_offset"),
             F.min("end_offset").alias("end_offset"),
-            numeric(F.sum("amount")).alias("amount"),
-            numeric(F.sum("rate")).alias("rate"),
-            numeric(F.sum("colloid")).alias("colloid"),
-            F.sum("crystalloid_rows").cast("int").alias("crystalloid_rows"),
-            F.sum("colloid_rows").cast("int").alias("colloid_rows"),
+            F.sum("amount").alias("amount"),
+            F.sum("rate").alias("rate"),
+            F.sum("colloid").alias("colloid"),
+            F.sum("crystalloid_rows").alias("crystalloid_rows"),
+            F.sum("colloid_rows").alias("colloid_rows"),
             F.max("los_min").alias("los_min"),
         )
     )
@@ -209,11 +200,11 @@ def void_intervals(urine_output: DataFrame, lengths: DataFrame) -> DataFrame:
         )
     )
     before = F.lag("offset").over(Window.partitionBy("stay_id").orderBy("offset"))
-    rate = F.try_divide(F.col("amount").cast("double") * 60, F.col("end_offset") - F.col("start_offset"))
+    rate = F.try_divide(F.col("amount") * 60, F.col("end_offset") - F.col("start_offset"))
     return (
         per_minute.withColumn("start_offset", zero(before))
         .withColumnRenamed("offset", "end_offset")
-        .withColumn("rate", numeric(rate))
+        .withColumn("rate", rate)
     )
 
 
@@ -225,12 +216,8 @@ def _last_hour() -> Column:
 
 def hour_shares(intervals: DataFrame, no_rate: Column) -> DataFrame:
     """Intervals spread over the hours of the stay: ``stay_id, hr, value`` (value = amount x 60)."""
-    low, high = F.col("hr") * HOUR, F.col("hr") * HOUR + HOUR
-    share = rate_minutes(
-        F.col("start_offset"), F.col("end_offset"), low, high, F.col("rate"), F.col("amount") * 60, no_rate
-    )
     hours = overlapped_buckets(intervals, "start_offset", "end_offset", HOUR, _last_hour(), "hr")
-    return hours.withColumn("value", _exact(share))
+    return hours.withColumn("value", _hour_share(no_rate))
 
 
 def point_hours(points: DataFrame) -> DataFrame:
@@ -247,10 +234,30 @@ def bolus_hours(sums: DataFrame) -> DataFrame:
     )
 
 
-def _contribution(df: DataFrame, kind: Column | str, value: Column | str) -> DataFrame:
-    kind = F.lit(kind) if isinstance(kind, str) else kind
-    value = F.col(value) if isinstance(value, str) else value
-    return df.select("stay_id", "hr", kind.alias("kind"), _exact(value).alias("value"))
+def _given_by(given: DataFrame, spread_kinds: list[str], width: int, last: Column, name: str):
+    """Totals per bucket of the grid: ``spread_kinds`` in all they overlap, others in that of their start.
+
+    One pass for all kinds; a filter per kind would scan the source once for each.
+    """
+    first = bucket_from(F.col("start_offset"), width)
+    final = F.when(F.col("kind").isin(spread_kinds), bucket_upto(F.col("end_offset"), width)).otherwise(first)
+    known = given.filter(F.col("start_offset").isNotNull() & final.isNotNull() & last.isNotNull())
+    return spread(known, F.greatest(first, F.lit(0)), F.least(final, last), name)
+
+
+def _crystalloid() -> Column:
+    return F.col("amount") * F.greatest("colloid_rows", F.lit(1))
+
+
+def _colloid() -> Column:
+    return F.col("colloid") * F.greatest("crystalloid_rows", F.lit(1))
+
+
+def _hour_share(no_rate: Column) -> Column:
+    low, high = F.col("hr") * HOUR, F.col("hr") * HOUR + HOUR
+    return rate_minutes(
+        F.col("start_offset"), F.col("end_offset"), low, high, F.col("rate"), F.col("amount") * 60, no_rate
+    )
 
 
 def hourly_sums(
@@ -260,37 +267,64 @@ def hourly_sums(
     urine_output: DataFrame,
     stays: DataFrame,
 ) -> DataFrame:
-    """``stay_id, hr`` of the grid with a summed column per kind of contribution."""
+    """``stay_id, hr`` of the grid with a summed column per kind of contribution.
+
+    Every source is read once.  A contribution has up to two values: boluses bring
+    crystalloid and colloid, voids their estimated share of the hour and, in the hour they
+    were charted, the amount.
+    """
     lengths = with_length(stays)
-    given = input_totals(inputevents, lengths)
-    per_order = hour_shares(given.filter(F.col("kind") != "bolus"), F.col("amount") * 60)
-    given_boluses = bolus_hours(bolus_sums(given)).select(
-        "stay_id",
-        "hr",
-        F.expr(
-            "stack(2, 'cristalloid', cristalloid_bolus, 'colloid', colloid_bolus) as (kind, value)"
-        ),
+    given = _given_by(
+        input_totals(inputevents, lengths), ["intake", "blood"], HOUR, _last_hour(), "hr"
     )
-    points = (
-        urine_points(urine_output)
-        .unionByName(output_points(outputevents, codes.HOURLY_OUTPUT_ITEMS))
-        .unionByName(dialysis_points(chartevents))
+    bolus = F.col("kind") == "bolus"
+    points = output_points(outputevents, codes.HOURLY_OUTPUT_ITEMS).unionByName(
+        dialysis_points(chartevents)
+    )
+    voids = overlapped_buckets(
+        void_intervals(urine_output, lengths), "start_offset", "end_offset", HOUR, _last_hour(), "hr"
     )
-    voids = hour_shares(void_intervals(urine_output, lengths), F.lit(0))
+    # a void lies in the last hour its interval overlaps
+    charted_here = F.col("hr") == bucket_upto(F.col("end_offset"), HOUR)
+    nothing = F.lit(None).cast("double")
     parts = [
-        hour_grid(lengths).select(
-            "stay_id", "hr", F.lit("grid").alias("kind"), F.lit(None).cast(EXACT).alias("value")
+        (hour_grid(lengths), F.lit("grid"), nothing, nothing),
+        (
+            given,
+            F.col("kind"),
+            F.when(bolus, _crystalloid()).otherwise(_hour_share(F.col("amount") * 60)),
+            F.when(bolus, _colloid()),
+        ),
+        (point_hours(placed(points, lengths)), F.col("kind"), F.col("value"), nothing),
+        (
+            voids,
+            F.lit("void"),
+            _hour_share(F.lit(0.0)),
+            F.when(charted_here, F.col("minute_amount")),
         ),
-        _contribution(per_order, F.col("kind"), "value"),
-        _contribution(given_boluses, F.col("kind"), "value"),
-        _contribution(point_hours(placed(points, lengths)), F.col("kind"), "value"),
-        _contribution(voids, "est_urine", "value"),
     ]
-    kinds = ["intake", "blood", "est_urine", "urine", "output", "dialysis", "cristalloid", "colloid"]
-    return (
-        reduce(DataFrame.unionByName, parts)
-        .groupBy("stay_id", "hr")
-        .agg(*[_exact(zero(F.sum(F.when(F.col("kind") == k, F.col("value"))))).alias(k) for k in kinds])
+    stream = reduce(
+        DataFrame.unionByName,
+        [
+            df.select("stay_id", "hr", kind.alias("kind"), value.alias("value"), second.alias("second"))
+            for df, kind, value, second in parts
+        ],
+    )
+    sums = {
+        "intake": ("intake", "value"),
+        "blood": ("blood", "value"),
+        "est_urine": ("void", "value"),
+        "urine": ("void", "second"),
+        "output": ("output", "value"),
+        "dialysis": ("dialysis", "value"),
+        "cristalloid": ("bolus", "value"),
+        "colloid": ("bolus", "second"),
+    }
+    return stream.groupBy("stay_id", "hr").agg(
+        *[
+            F.expr(f"coalesce(sum(case when kind = '{kind}' then {value} end), 0D) as {name}")
+            for name, (kind, value) in sums.items()
+        ]
     )
 
 
@@ -309,7 +343,7 @@ def hourly(
     out = F.col("output") + F.col("dialysis")
     balance = F.col("intake") - (out + F.col("urine")) * 60
     estimated = F.col("intake") - out * 60 - F.col("est_urine")
-    sums = sums.withColumn("balance", _exact(balance)).withColumn("estimated", _exact(estimated))
+    sums = sums.withColumn("balance", balance).withColumn("estimated", estimated)
 
     def mixed(c: Column) -> Column:
         return whole_even(sixtieths(c))
@@ -340,20 +374,11 @@ DAILY_MEASURES = [
 ]
 
 
-def day_shares(intake_orders: DataFrame, days: int = DAYS) -> DataFrame:
-    """Intake orders spread over the first days: ``stay_id, day, value`` (value = amount x 60).
-
-    Unlike the hourly view, an order inside one day counts as duration x rate.
-    """
+def _day_share() -> Column:
+    """Unlike the hourly view, an order inside one day counts as duration x rate."""
     low, high = F.col("day") * DAY, F.col("day") * DAY + DAY
-    start, end = F.col("start_offset"), F.col("end_offset")
-    share = rate_minutes(
-        start, end, low, high, F.col("rate"), minutes(end - start) * F.col("rate"), F.col("amount") * 60
-    )
-    spread_days = overlapped_buckets(
-        intake_orders, "start_offset", "end_offset", DAY, F.lit(days - 1), "day"
-    )
-    return spread_days.withColumn("value", _exact(share))
+    start, end, rate = F.col("start_offset"), F.col("end_offset"), F.col("rate")
+    return rate_minutes(start, end, low, high, rate, (end - start) * rate, F.col("amount") * 60)
 
 
 def daily_sums(
@@ -364,39 +389,41 @@ def daily_sums(
     stays: DataFrame,
     days: int = DAYS,
 ) -> DataFrame:
-    """``stay_id, day, kind, value``: one sum per stay, day and kind."""
+    """``stay_id, day, kind, value, second``: one sum per stay, day and kind.
+
+    Intake is spread over the days (value = amount x 60); blood and boluses count to the
+    day they began, urine, output and dialysis to the day they were charted.
+    """
     lengths = with_length(stays)
-    given = input_totals(inputevents, lengths)
-    from_start = given.filter(F.col("kind") == "blood").select(
-        "stay_id", bucket_from(F.col("start_offset"), DAY).alias("day"), "kind", F.col("amount").alias("value")
-    )
-    given_boluses = bolus_sums(given).select(
-        "stay_id",
-        bucket_from(F.col("bolus_offset"), DAY).alias("day"),
-        F.expr(
-            "stack(2, 'cristalloid_bolus', cristalloid_bolus, 'colloid_bolus', colloid_bolus)"
-            " as (kind, value)"
-        ),
+    given = _given_by(
+        input_totals(inputevents, lengths), ["intake"], DAY, F.lit(days - 1), "day"
     )
+    kind = F.col("kind")
     points = (
         urine_points(urine_output)
         .unionByName(output_points(outputevents, codes.DAILY_OUTPUT_ITEMS))
         .unionByName(dialysis_points(chartevents))
     )
-    parts = [
-        day_shares(given.filter(F.col("kind") == "intake"), days).select("stay_id", "day", "kind", "value"),
-        from_start,
-        given_boluses,
-        placed(points, lengths).select(
-            "stay_id", bucket_upto(F.col("offset"), DAY).alias("day"), "kind", "value"
-        ),
-    ]
-    parts = [p.withColumn("value", _exact(F.col("value"))) for p in parts]
-    return (
-        reduce(DataFrame.unionByName, parts)
+    by_points = (
+        placed(points, lengths)
+        .withColumn("day", bucket_upto(F.col("offset"), DAY))
         .filter(F.col("day").between(0, days - 1))
+        .select("stay_id", "day", "kind", "value", F.lit(None).cast("double").alias("second"))
+    )
+    by_given = given.select(
+        "stay_id",
+        "day",
+        "kind",
+        F.when(kind == "bolus", _crystalloid())
+        .when(kind == "blood", F.col("amount"))
+        .otherwise(_day_share())
+        .alias("value"),
+        F.when(kind == "bolus", _colloid()).alias("second"),
+    )
+    return (
+        by_given.unionByName(by_points)
         .groupBy("stay_id", "day", "kind")
-        .agg(_exact(F.sum("value")).alias("value"))
+        .agg(F.sum("value").alias("value"), F.sum("second").alias("second"))
     )
 
 
@@ -414,11 +441,14 @@ def daily(
     with the fourth, after 72 hours, as published).  The overall total is always shown.
     """
     sums = daily_sums(inputevents, outputevents, chartevents, urine_output, stays, days)
-    kinds = ["cristalloid_bolus", "colloid_bolus", "blood", "intake", "urine", "dialysis", "output"]
+    sources = {
+        "cristalloid_bolus": ("bolus", "value"),
+        "colloid_bolus": ("bolus", "second"),
+        **{k: (k, "value") for k in ("blood", "intake", "urine", "dialysis", "output")},
+    }
     cells = []
-    for kind in kinds:
-        value = F.when(F.col("kind") == kind, F.col("value"))
-        cells += by_day(F.col("day"), value, days, kind)
+    for name, (kind, value) in sources.items():
+        cells += by_day("day", f"case when kind = '{kind}' then {value} end", days, name)
     wide = with_length(stays).join(sums.groupBy("stay_id").agg(*cells), "stay_id", "left")
 
     shown = {}
@@ -436,7 +466,7 @@ def daily(
             "urine": whole(c("urine")),
             "dialysis": whole(c("dialysis")),
             "output": whole(out),
-            "fluid_balance": whole_even(sixtieths(_exact(zero(c("intake")) - out * 60))),
+            "fluid_balance": whole_even(sixtieths(zero(c("intake")) - out * 60)),
         }
     rounded = wide.select(
         "stay_id",

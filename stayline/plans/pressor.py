@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import codes
 from ..functions.clinical import has_item, offset_of
-from ..functions.numbers import NUMERIC, numeric
+from ..functions.numbers import decimals, numeric
 from ..operators.grid import spread, with_length
 from ..operators.intervals import stabbed_minutes
 from ..operators.shape import by_day, greatest_day
 
 MINUTE_CAP = 7 * 24 * 60
-EXACT = "decimal(28,9)"
 
 
 def infusions(inputevents: DataFrame, lengths: DataFrame) -> DataFrame:
@@ -56,7 +55,7 @@ def hourly(inputevents: DataFrame, stays: DataFrame, minute_cap: int = MINUTE_CA
             "hr",
             "minutes",
             F.lit(None).cast("string").alias("drug"),
-            F.lit(None).cast("decimal(38,9)").alias("rate_minutes"),
+            F.lit(None).cast("double").alias("rate_minutes"),
         )
     )
     running = (
@@ -74,30 +73,22 @@ def hourly(inputevents: DataFrame, stays: DataFrame, minute_cap: int = MINUTE_CA
     sums = grid.unionByName(covered).groupBy("stay_id", "hr").agg(
         F.max("minutes").alias("minutes"),
         *[
-            F.coalesce(F.sum(F.when(F.col("drug") == d, F.col("rate_minutes"))), F.lit(0))
-            .cast(EXACT)
-            .alias(d)
+            F.expr(f"coalesce(sum(case when drug = '{d}' then rate_minutes end), 0D) as {d}")
             for d in codes.PRESSORS
         ],
     )
-    # over the common denominator 600 the weighted total needs one division only
-    weighted = sum(F.col(d) * (600 // n) for d, n in codes.EQUIVALENT_DIVISORS.items())
-    minutes = F.col("minutes")
+    weighted = " + ".join(f"{d} / {n}" for d, n in codes.EQUIVALENT_DIVISORS.items())
     return sums.select(
         "stay_id",
         "hr",
-        *[(F.col(d).cast("double") / minutes).cast(NUMERIC).alias(d) for d in codes.PRESSORS],
-        (weighted.cast("double") / (minutes * 600)).cast(NUMERIC).alias("vasopressor_rate"),
+        *[F.expr(f"{d} / minutes as {d}") for d in codes.PRESSORS],
+        F.expr(f"({weighted}) / minutes as vasopressor_rate"),
     )
 
 
 def daily(pressor_hourly: DataFrame, days: int = 5) -> DataFrame:
     """Highest rounded hourly mean of each day, side by side, for stays with a first day."""
-    day = F.floor(F.col("hr") / 24)
-    cells = [
-        by_day(day, F.round(F.col(name), n).cast("double"), days, name)
-        for name, n in codes.DAILY_DECIMALS.items()
-    ]
+    cells = [by_day("hr div 24", name, days, name) for name in codes.DAILY_DECIMALS]
     wide = (
         pressor_hourly.filter(F.col("hr") < days * 24)
         .groupBy("stay_id")
@@ -107,12 +98,14 @@ def daily(pressor_hourly: DataFrame, days: int = 5) -> DataFrame:
         )
         .filter(F.col("_day_1") == 1)
     )
+    # rounding keeps the order, so the highest rounded value is the highest value rounded
     ordered = [
-        f"d{d}_{name}" for d in range(1, days + 1) for name in codes.DAILY_DECIMALS
+        decimals(F.col(f"d{d}_{name}"), places).alias(f"d{d}_{name}")
+        for d in range(1, days + 1)
+        for name, places in codes.DAILY_DECIMALS.items()
     ]
-    return wide.select(
-        "stay_id",
-        *ordered,
+    return wide.select("stay_id", *ordered).select(
+        "*",
         greatest_day(days, "dobutamin", "max_dobutamin"),
         greatest_day(days, "milrinone", "max_milrinone"),
         greatest_day(days, "vasopressor_rate", "max_vasopressor"),
