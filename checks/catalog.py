@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stayline.functions import codes
 from stayline.functions.numbers import sixtieths
-from stayline.operators.grid import block_grid, hour_grid, with_length
+from stayline.operators.grid import hour_grid, with_length
 from stayline.plans import cohort, fluid, panel, pressor, procedures, study
 from stayline.session import tune
 from stayline.sources.stages import Stages
@@ -36,8 +36,8 @@ def query(body: str):
     return register
 
 
-def doubles(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.col(n).cast("double") for n in names})
+def sixes(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: six(F.col(n)) for n in names})
 
 
 def six(value: Column) -> Column:
@@ -51,20 +51,20 @@ def lengths(t: Tables) -> DataFrame:
 
 # --- offsets and vasoactive drugs ---------------------------------------------------
 
-@query("select stay_id, charttime, o as minute_offset, cast(value as double) as urine from urine_points")
+@query(f"select stay_id, charttime, o as minute_offset, {oracles.six('value')} as urine from urine_points")
 def minute_offsets(t):
     rows = fluid.placed(fluid.urine_points(t["urine_output"]), lengths(t))
     return rows.select(
-        "stay_id", "charttime", F.col("offset").alias("minute_offset"), F.col("value").cast("double").alias("urine")
+        "stay_id", "charttime", F.col("offset").alias("minute_offset"), six(F.col("value")).alias("urine")
     )
 
 
 @query(
-    "select stay_id, drug, starttime, b as begin_offset, e as end_offset, cast(rate as double) as rate"
+    f"select stay_id, drug, starttime, b as begin_offset, e as end_offset, {oracles.six('rate')} as rate"
     " from pressor_rows"
 )
 def infusion_extract(t):
-    return doubles(pressor.infusions(t["inputevents"], lengths(t)), "rate").drop("los_min")
+    return sixes(pressor.infusions(t["inputevents"], lengths(t)), "rate").drop("los_min")
 
 
 _RATES = [*codes.PRESSORS, "vasopressor_rate"]
@@ -88,21 +88,25 @@ def procedure_dedup(t):
     return procedures.deduplicated(procedures.charted(t["procedureevents"], t["icustay_times"]))
 
 
+def _echo(t) -> DataFrame:
+    return procedures.per_stay(t["procedureevents"], t["icustay_times"], Stages(t.spark))
+
+
 @query("select * from echo")
 def procedure_pivot(t):
-    return procedures.per_stay(t["procedureevents"], t["icustay_times"])
+    return _echo(t)
 
 
 # --- fluid extracts ----------------------------------------------------------------
 
 def _bolus_side(t, side: str) -> DataFrame:
     return fluid.boluses(t["inputevents"], t["icustay_times"]).select(
-        "stay_id", "bolus_offset", F.col(side).cast("double").alias(side)
+        "stay_id", "bolus_offset", six(F.col(side)).alias(side)
     ).filter(F.col(side).isNotNull())
 
 
 @query(
-    """select stay_id, bolus_offset, cast(cristalloid_bolus as double) as cristalloid_bolus from bolus
+    f"""select stay_id, bolus_offset, {oracles.six('cristalloid_bolus')} as cristalloid_bolus from bolus
     where cristalloid_bolus is not null"""
 )
 def bolus_crystalloid(t):
@@ -110,7 +114,7 @@ def bolus_crystalloid(t):
 
 
 @query(
-    """select stay_id, bolus_offset, cast(colloid_bolus as double) as colloid_bolus from bolus
+    f"""select stay_id, bolus_offset, {oracles.six('colloid_bolus')} as colloid_bolus from bolus
     where colloid_bolus is not null"""
 )
 def bolus_colloid(t):
@@ -118,46 +122,46 @@ def bolus_colloid(t):
 
 
 @query(
-    """select stay_id, bolus_offset, cast(cristalloid_bolus as double) as cristalloid_bolus,
-        cast(colloid_bolus as double) as colloid_bolus from bolus"""
+    f"""select stay_id, bolus_offset, {oracles.six('cristalloid_bolus')} as cristalloid_bolus,
+        {oracles.six('colloid_bolus')} as colloid_bolus from bolus"""
 )
 def bolus_merge(t):
     rows = fluid.boluses(t["inputevents"], t["icustay_times"]).drop("los_min")
-    return doubles(rows, "cristalloid_bolus", "colloid_bolus")
+    return sixes(rows, "cristalloid_bolus", "colloid_bolus")
 
 
 @query(
-    """select stay_id, orderid, kind, s as start_offset, e as end_offset, cast(amount as double) as amount,
-        cast(rate as double) as rate
+    f"""select stay_id, orderid, kind, s as start_offset, e as end_offset, {oracles.six('amount')} as amount,
+        {oracles.six('rate')} as rate
     from (select *, 'intake' as kind from intake_orders union all select *, 'blood' from blood_orders) r"""
 )
 def order_rollup(t):
     rows = fluid.orders(t["inputevents"], lengths(t)).select(
         "stay_id", F.col("place").alias("orderid"), "kind", "start_offset", "end_offset", "amount", "rate"
     )
-    return doubles(rows, "amount", "rate")
+    return sixes(rows, "amount", "rate")
 
 
 @query(
-    f"""select stay_id, s as start_offset, e as end_offset, cast(amount as double) as amount,
+    f"""select stay_id, s as start_offset, e as end_offset, {oracles.six('amount')} as amount,
         {oracles.six('rate')} as rate, minute_amount, voids
-    from voids join (select stay_id, o as e, cast(sum(value) as double) as minute_amount, count(*) as voids
+    from voids join (select stay_id, o as e, {oracles.six('sum(value)')} as minute_amount, count(*) as voids
         from urine_points group by stay_id, o) m using (stay_id, e)
     where place = 1"""
 )
 def void_rate(t):
     rows = fluid.void_intervals(t["urine_output"], lengths(t)).drop("los_min")
-    return rows.withColumn("rate", six(F.col("rate")))
+    return sixes(rows, "amount", "rate", "minute_amount")
 
 
 def _charted(rows: DataFrame, t) -> DataFrame:
-    return doubles(fluid.charted(rows, lengths(t)), "value")
+    return sixes(fluid.charted(rows, lengths(t)), "value")
 
 
 @query(
-    """select stay_id, charttime, o as "offset", cast(value as double) as value, 'hourly' as list
+    f"""select stay_id, charttime, o as "offset", {oracles.six('value')} as value, 'hourly' as list
     from output_hourly_points union all
-    select stay_id, charttime, o, cast(value as double), 'daily' from output_daily_points"""
+    select stay_id, charttime, o, {oracles.six('value')}, 'daily' from output_daily_points"""
 )
 def signed_output(t):
     hourly = _charted(fluid.output_points(t["outputevents"], codes.HOURLY_OUTPUT_ITEMS), t)
@@ -165,7 +169,7 @@ def signed_output(t):
     return hourly.withColumn("list", F.lit("hourly")).unionByName(daily.withColumn("list", F.lit("daily")))
 
 
-@query('select stay_id, charttime, o as "offset", cast(value as double) as value from dialysis_points')
+@query(f'select stay_id, charttime, o as "offset", {oracles.six('value')} as value from dialysis_points')
 def dialysis_net(t):
     return _charted(fluid.dialysis_points(t["chartevents"]), t)
 
@@ -178,7 +182,7 @@ def hour_grid_rows(t):
 
 
 @query(
-    """select stay_id, hr, kind, cast(v as double) as value from (
+    f"""select stay_id, hr, kind, {oracles.six('v')} as value from (
         select *, 'urine' as kind from hour_urine union all select *, 'output' from hour_output
         union all select *, 'dialysis' from hour_dialysis) r"""
 )
@@ -189,11 +193,11 @@ def hour_points(t):
         .unionByName(fluid.dialysis_points(t["chartevents"]))
     )
     hours = fluid.point_hours(fluid.placed(points, lengths(t)))
-    return doubles(hours.groupBy("stay_id", "hr", "kind").agg(F.sum("value").alias("value")), "value")
+    return sixes(hours.groupBy("stay_id", "hr", "kind").agg(F.sum("value").alias("value")), "value")
 
 
 @query(
-    """select stay_id, hr, cast(c as double) as cristalloid_bolus, cast(a as double) as colloid_bolus
+    f"""select stay_id, hr, {oracles.six('c')} as cristalloid_bolus, {oracles.six('a')} as colloid_bolus
     from hour_bolus"""
 )
 def hour_bolus(t):
@@ -201,7 +205,7 @@ def hour_bolus(t):
     hours = fluid.bolus_hours(fluid.bolus_sums(given)).groupBy("stay_id", "hr").agg(
         F.sum("cristalloid_bolus").alias("cristalloid_bolus"), F.sum("colloid_bolus").alias("colloid_bolus")
     )
-    return doubles(hours, "cristalloid_bolus", "colloid_bolus")
+    return sixes(hours, "cristalloid_bolus", "colloid_bolus")
 
 
 def _shares(rows: DataFrame) -> DataFrame:
@@ -268,13 +272,14 @@ def _wide_stages(t) -> dict[str, DataFrame]:
 
 
 def _base(t) -> DataFrame:
-    """The cohort as a stage: the queries below read it many times."""
-    return Stages(t.spark)("cohort_base", study.base(t, _wide_stages(t)))
+    """The cohort as a stage, built once: the queries below start from it."""
+    if "cohort_base" not in t:
+        t["cohort_base"] = t.written("cohort_base", study.base(t, _wide_stages(t)))
+    return t["cohort_base"]
 
 
 def _procedures(t, base: DataFrame) -> DataFrame:
-    echo = procedures.per_stay(t["procedureevents"], t["icustay_times"])
-    return Stages(t.spark)("first_procedure", cohort.first_procedure(base, echo))
+    return Stages(t.spark)("first_procedure", cohort.first_procedure(base, _echo(t)))
 
 
 @query("select * from first_service_rows")
@@ -389,25 +394,21 @@ def first_monitor(t):
 
 
 @query(
-    """select stay_id, bolus_offset, cast(cristalloid_bolus as double) as cristalloid_bolus,
-        cast(albumin_bolus as double) as albumin_bolus from base_bolus"""
+    f"""select stay_id, bolus_offset, {oracles.six('cristalloid_bolus')} as cristalloid_bolus,
+        {oracles.six('albumin_bolus')} as albumin_bolus from base_bolus"""
 )
 def cohort_bolus(t):
-    return doubles(cohort.base_boluses(t["inputevents"], _base(t)), "cristalloid_bolus", "albumin_bolus")
-
+    return sixes(cohort.base_boluses(t["inputevents"], _base(t)), "cristalloid_bolus", "albumin_bolus")
 
-_AFTER = """select * replace (cast(tte_cristalloid_bolus as double) as tte_cristalloid_bolus,
-    cast(tte_albumin_bolus as double) as tte_albumin_bolus) from after_echo"""
 
-
-@query(_AFTER)
+@query("select * from after_echo")
 def post_procedure_changes(t):
     base = _base(t)
     e = study.events(t, base)
     after = cohort.after_procedure(
         _procedures(t, base), e["bolus"], e["episodes"], e["diuretic"], e["rate_control"], e["monitor"]
     )
-    return doubles(after, "tte_cristalloid_bolus", "tte_albumin_bolus")
+    return after
 
 
 # --- blocks ------------------------------------------------------------------------
@@ -469,10 +470,6 @@ def block_score_lead(t):
     return panel.score_blocks(t["sofa"], panel.blocks(base, t["icustay_times"]))
 
 
-_PANEL = """select * replace (cast(tte_cristalloid_bolus as double) as tte_cristalloid_bolus,
-    cast(tte_albumin_bolus as double) as tte_albumin_bolus) from panel"""
-
-
-@query(_PANEL)
+@query("select * from panel")
 def block_panel(t):
-    return doubles(study.run(t, Stages(t.spark)), "tte_cristalloid_bolus", "tte_albumin_bolus")
+    return study.run(t, Stages(t.spark))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stayline.functions.codes import MONITOR_MEASURES
 from stayline.sources.stages import Stages
-from stayline.sources.tables import typed
+from stayline.sources.tables import SCHEMAS, typed
 
 
 @dataclass(frozen=True)
@@ -270,7 +270,17 @@ def with_clause(parts: dict[str, str], body: str) -> str:
     return f"with {listed}\n{body}" if listed else body
 
 
-DUCKDB = definitions(Dialect(spark=False))
+def _typed_sql(name: str, select: str) -> str:
+    """The select with the column types of the input table, as ``typed`` gives them in Spark."""
+    if name not in SCHEMAS:
+        return select
+    names = {"timestamp_ntz": "timestamp", "string": "varchar"}
+    fields = [f.split() for f in SCHEMAS[name].split(",")]
+    columns = ", ".join(f"cast({c} as {names.get(kind, kind)}) as {c}" for c, kind in fields)
+    return f"select {columns} from ({select}) typed"
+
+
+DUCKDB = {n: _typed_sql(n, s) for n, s in definitions(Dialect(spark=False)).items()}
 
 
 class Tables(dict):

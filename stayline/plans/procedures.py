@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions import codes
 from ..functions.clinical import offset_of
 from ..operators.grid import with_length
 from ..operators.shape import ordered_pivot
+from ..sources.stages import keep
 
 GAP = 60
 COLUMNS = ["tte_offset", "tte_start", "tte_end", "tte_store"]
@@ -70,5 +73,9 @@ def table(rows: DataFrame, count: int = 15) -> DataFrame:
     return wide.join(numbers, "stay_id")
 
 
-def per_stay(procedureevents: DataFrame, stays: DataFrame) -> DataFrame:
-    return table(deduplicated(charted(procedureevents, stays)))
+def per_stay(
+    procedureevents: DataFrame, stays: DataFrame, sink: Callable[[str, DataFrame], DataFrame] = keep
+) -> DataFrame:
+    """The whole chain.  Its steps are read several times each, so they may go through a sink."""
+    rows = sink("echo_rows", charted(procedureevents, stays))
+    return table(sink("echo_kept", deduplicated(rows)))

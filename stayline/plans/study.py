@@ -6,17 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from ..sources.stages import keep
 from . import cohort, fluid, panel, pressor, procedures
 
 Tables = dict[str, DataFrame]
 Sink = Callable[[str, DataFrame], DataFrame]
 
 
-def keep(_name: str, df: DataFrame) -> DataFrame:
-    """Sink that writes nothing: the stage stays part of the query."""
-    return df
-
-
 def fluid_inputs(tables: Tables) -> list[DataFrame]:
     names = ["inputevents", "outputevents", "chartevents", "urine_output", "icustay_times"]
     return [tables[n] for n in names]
@@ -31,7 +27,7 @@ def stages(tables: Tables, sink: Sink) -> Tables:
         "vasopressor": sink("vasopressor", pressor.daily(hourly)),
         "fluid_hourly": sink("fluid_hourly", fluid.hourly(*fluid_inputs(tables))),
         "fluid_balance": sink("fluid_balance", fluid.daily(*fluid_inputs(tables))),
-        "tte": sink("tte", procedures.per_stay(tables["procedureevents"], times)),
+        "tte": sink("tte", procedures.per_stay(tables["procedureevents"], times, sink)),
     }
 
 

@@ -17,6 +17,11 @@ def shared_folder(spark: SparkSession) -> str:
     return named or tempfile.mkdtemp(prefix="stayline-")
 
 
+def keep(_name: str, df: DataFrame) -> DataFrame:
+    """Sink that writes nothing: the step stays part of the query."""
+    return df
+
+
 class Stages:
     """Overwriting table sink with read-back.
 
