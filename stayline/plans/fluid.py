@@ -266,6 +266,7 @@ def hourly_sums(
     chartevents: DataFrame,
     urine_output: DataFrame,
     stays: DataFrame,
+    totals: DataFrame | None = None,
 ) -> DataFrame:
     """``stay_id, hr`` of the grid with a summed column per kind of contribution.
 
@@ -274,9 +275,8 @@ def hourly_sums(
     were charted, the amount.
     """
     lengths = with_length(stays)
-    given = _given_by(
-        input_totals(inputevents, lengths), ["intake", "blood"], HOUR, _last_hour(), "hr"
-    )
+    given = input_totals(inputevents, lengths) if totals is None else totals
+    given = _given_by(given, ["intake", "blood"], HOUR, _last_hour(), "hr")
     bolus = F.col("kind") == "bolus"
     points = output_points(outputevents, codes.HOURLY_OUTPUT_ITEMS).unionByName(
         dialysis_points(chartevents)
@@ -334,12 +334,14 @@ def hourly(
     chartevents: DataFrame,
     urine_output: DataFrame,
     stays: DataFrame,
+    totals: DataFrame | None = None,
 ) -> DataFrame:
     """Hourly fluid table with running balances, in whole mL.
 
+    ``totals`` is ``input_totals`` if it is at hand already.
     'intake', 'blood' and 'est_urine' are kept in sixtieths (amount x 60) up to here.
     """
-    sums = hourly_sums(inputevents, outputevents, chartevents, urine_output, stays)
+    sums = hourly_sums(inputevents, outputevents, chartevents, urine_output, stays, totals)
     out = F.col("output") + F.col("dialysis")
     balance = F.col("intake") - (out + F.col("urine")) * 60
     estimated = F.col("intake") - out * 60 - F.col("est_urine")
@@ -387,6 +389,7 @@ def daily_sums(
     chartevents: DataFrame,
     urine_output: DataFrame,
     stays: DataFrame,
+    totals: DataFrame | None = None,
     days: int = DAYS,
 ) -> DataFrame:
     """``stay_id, day, kind, value, second``: one sum per stay, day and kind.
@@ -395,9 +398,8 @@ def daily_sums(
     day they began, urine, output and dialysis to the day they were charted.
     """
     lengths = with_length(stays)
-    given = _given_by(
-        input_totals(inputevents, lengths), ["intake"], DAY, F.lit(days - 1), "day"
-    )
+    given = input_totals(inputevents, lengths) if totals is None else totals
+    given = _given_by(given, ["intake"], DAY, F.lit(days - 1), "day")
     kind = F.col("kind")
     points = (
         urine_points(urine_output)
@@ -433,6 +435,7 @@ def daily(
     chartevents: DataFrame,
     urine_output: DataFrame,
     stays: DataFrame,
+    totals: DataFrame | None = None,
     days: int = DAYS,
 ) -> DataFrame:
     """Daily fluid totals and balances side by side, one row per stay, in whole mL.
@@ -440,7 +443,7 @@ def daily(
     A day's balance is shown only for stays that reached the day (the seventh day opens
     with the fourth, after 72 hours, as published).  The overall total is always shown.
     """
-    sums = daily_sums(inputevents, outputevents, chartevents, urine_output, stays, days)
+    sums = daily_sums(inputevents, outputevents, chartevents, urine_output, stays, totals, days)
     sources = {
         "cristalloid_bolus": ("bolus", "value"),
         "colloid_bolus": ("bolus", "second"),

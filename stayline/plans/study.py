@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 
+from ..operators.grid import with_length
 from ..sources.stages import keep
 from . import cohort, fluid, panel, pressor, procedures
 
@@ -20,15 +22,34 @@ def fluid_inputs(tables: Tables) -> list[DataFrame]:
 
 def stages(tables: Tables, sink: Sink) -> Tables:
     """The stage tables by name, each handed to ``sink``."""
-    times = tables["icustay_times"]
-    hourly = sink("vasopressor_hourly", pressor.hourly(tables["inputevents"], times))
-    return {
-        "vasopressor_hourly": hourly,
-        "vasopressor": sink("vasopressor", pressor.daily(hourly)),
-        "fluid_hourly": sink("fluid_hourly", fluid.hourly(*fluid_inputs(tables))),
-        "fluid_balance": sink("fluid_balance", fluid.daily(*fluid_inputs(tables))),
-        "tte": sink("tte", procedures.per_stay(tables["procedureevents"], times, sink)),
-    }
+    times, given = tables["icustay_times"], tables["inputevents"]
+
+    def pressors() -> Tables:
+        hourly = sink("vasopressor_hourly", pressor.hourly(given, times))
+        return {"vasopressor_hourly": hourly, "vasopressor": sink("vasopressor", pressor.daily(hourly))}
+
+    def fluids() -> Tables:
+        totals = sink("input_totals", fluid.input_totals(given, with_length(times)))
+        inputs = fluid_inputs(tables)
+        return side_by_side(
+            {
+                "fluid_hourly": lambda: sink("fluid_hourly", fluid.hourly(*inputs, totals=totals)),
+                "fluid_balance": lambda: sink("fluid_balance", fluid.daily(*inputs, totals=totals)),
+            }
+        )
+
+    def echo() -> Tables:
+        return {"tte": sink("tte", procedures.per_stay(tables["procedureevents"], times, sink))}
+
+    parts = side_by_side({"pressors": pressors, "fluids": fluids, "echo": echo})
+    return {name: df for part in parts.values() for name, df in part.items()}
+
+
+def side_by_side(steps: dict[str, Callable]) -> dict:
+    """Results of independent steps by name; their Spark jobs share the cluster."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        started = {name: pool.submit(step) for name, step in steps.items()}
+        return {name: step.result() for name, step in started.items()}
 
 
 def base(tables: Tables, built: Tables) -> DataFrame:
@@ -53,18 +74,25 @@ def base(tables: Tables, built: Tables) -> DataFrame:
     return cohort.exposed(wide)
 
 
-def events(tables: Tables, base: DataFrame) -> dict:
-    """Treatment events of the cohort."""
+def events(tables: Tables, base: DataFrame, sink: Sink = keep) -> dict:
+    """Treatment events of the cohort.
+
+    They are few next to their sources and read twice, so ``sink`` should store them.
+    """
     t = tables
-    return {
+    episodes = cohort.all_episodes(
+        t["dobutamine"], t["inputevents"], t["epinephrine"], t["vasopressin"], base
+    )
+    rows = {
         "bolus": cohort.base_boluses(t["inputevents"], base),
-        "episodes": cohort.all_episodes(
-            t["dobutamine"], t["inputevents"], t["epinephrine"], t["vasopressin"], base
-        ),
         "diuretic": cohort.diuretics(t["prescriptions"], t["pharmacy"], base),
         "rate_control": cohort.rate_control(t["prescriptions"], t["pharmacy"], base),
         "monitor": cohort.first_monitor(t["vitals"], base),
+        **{f"episodes_{name}": df for name, df in episodes.items()},
     }
+    stored = side_by_side({n: (lambda n=n, df=df: sink(n, df)) for n, df in rows.items()})
+    stored["episodes"] = {name: stored.pop(f"episodes_{name}") for name in episodes}
+    return stored
 
 
 def cohort_panel(tables: Tables, built: Tables, base: DataFrame, sink: Sink = keep) -> DataFrame:
@@ -74,8 +102,8 @@ def cohort_panel(tables: Tables, built: Tables, base: DataFrame, sink: Sink = ke
     def own(df: DataFrame) -> DataFrame:
         return df.join(ids, "stay_id", "left_semi")
 
-    e = events(tables, base)
-    episodes = {n: sink(f"episodes_{n}", rows) for n, rows in e["episodes"].items()}
+    e = events(tables, base, sink)
+    episodes = e["episodes"]
     first = sink("first_procedure", cohort.first_procedure(base, built["tte"]))
     after = cohort.after_procedure(
         first, e["bolus"], episodes, e["diuretic"], e["rate_control"], e["monitor"]
