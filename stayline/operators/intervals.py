@@ -30,8 +30,9 @@ def rate_minutes(
 ) -> Column:
     """Share of an interval in the bucket ``[low, high]``, as amount x 60.
 
-    A share of a rate is minutes x rate / 60; the division is left to the very end.  ``inside`` is the value for an interval that lies in the bucket,
-    ``no_rate`` the one for an interval without a rate.
+    A share of a rate is minutes x rate / 60; the division is left to the very end.  ``inside``
+    is the value for an interval that lies in the bucket, ``no_rate`` the one for an interval
+    without a rate.
     """
     begins, ends = start >= low, end <= high
     return (
