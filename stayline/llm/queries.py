@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_orc
+from . import packing, simhash, token_orc
 from .common import scratch, staged, table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -21,6 +21,10 @@ def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.digests(spark, folder)
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = staged(packing.pieces(docs, WORD_VOCABULARY, END_ID, SEQUENCE), "pieces")
@@ -29,6 +33,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_orc": op1_token_orc,
+    "op2_simhash": op2_simhash,
     "op9_packing": op9_packing,
 }
 
