@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, simhash, token_orc
+from . import packing, simhash, substrings, token_orc
 from .common import scratch, staged, table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -25,6 +26,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.removed(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = staged(packing.pieces(docs, WORD_VOCABULARY, END_ID, SEQUENCE), "pieces")
@@ -34,6 +40,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_orc": op1_token_orc,
     "op2_simhash": op2_simhash,
+    "op3_substrings": op3_substrings,
     "op9_packing": op9_packing,
 }
 
