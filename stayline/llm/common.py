@@ -63,24 +63,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[str], bucket: Column, name: str) -> DataFrame:
-    """``name``: each row's position from 0 among the rows of its ``keys``, in the order of ``order``.
-
-    ``bucket`` is any non-decreasing function of ``order`` with enough values to spread a hot key:
-    rows are numbered inside (keys, bucket), and one row per bucket carries the count before it.
-    Nulls in ``keys`` are a group of their own.
+def ranked(
+    df: DataFrame, keys: list[str], order: list[str], bucket: Column, rank: str, total: str | None = None
+) -> DataFrame:
+    """Add ``rank``: each row's position from 0 among the rows of its ``keys`` by ``order``, and ``total``, their number.
+
+    ``bucket`` is any non-decreasing function of ``order`` with enough values to spread a hot key: rows
+    are numbered inside (keys, bucket), and one row per bucket carries the count before it.  ``keys`` must
+    not be null.
     """
     df = df.withColumn("_bucket", bucket)
     group = [*keys, "_bucket"]
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-    counts = counts.select(*[F.col(c).alias(f"_{c}_") for c in group], "_before")
-    inside = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}_")) for c in group]
-    return (
-        df.withColumn("_inside", inside)
-        .join(counts, same)
-        .withColumn(name, (F.col("_before") + F.col("_inside")).cast("long"))
-        .drop("_bucket", "_inside", "_before", *[f"_{c}_" for c in group])
+    counts = counts.select(
+        *group, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"), F.sum("_rows").over(whole).alias("_all")
     )
+    inside = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1
+    out = df.withColumn("_inside", inside).join(counts, group)
+    out = out.withColumn(rank, (F.col("_before") + F.col("_inside")).cast("long"))
+    out = out.withColumn(total, F.col("_all")) if total else out
+    return out.drop("_bucket", "_inside", "_before", "_all")
