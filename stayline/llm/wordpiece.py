@@ -1,8 +1,9 @@
 """Token ids of whole texts by a vocabulary that drops white space, as the tokenizers library gives them.
 
-Such a vocabulary's tokens never reach over white space, so a text's ids are those of its
-white-space-separated parts one after another.  Every worker keeps the ids of the parts it has seen;
-new parts go to the library together, as one text.
+Such a vocabulary's tokens never reach over white space, nor from letters into punctuation, and case makes
+no difference, so a text's ids are those of its white-space-separated parts one after another, and those
+of a part are its letters' and its closing marks'.  Every worker keeps the ids of the parts it has seen; new
+parts go to the library together, as one text.
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ import numpy as np
 
 #: Parts kept by a worker (about 100 bytes each); the store is emptied beyond.
 KEPT = 600_000
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Marks that close a part; an apostrophe may open a token with letters and is not among them.
+MARKS = b".,;:!?)#$%&*|"
 
 
 @lru_cache(maxsize=2)
@@ -35,25 +39,40 @@ class WhiteSpaceEncoder:
         """The library's own ids of a whole text."""
         return self.library.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, parts: list[bytes]) -> None:
-        lengths = np.array([len(p.decode()) for p in parts])
-        ends = np.cumsum(lengths + 1)
-        found = self.library.encode("\n".join([p.decode() for p in parts]), add_special_tokens=False)
+    def _ask(self, parts: list[bytes]) -> None:
+        """Have the library encode new parts."""
+        words = [p.decode() for p in parts]
+        ends = np.cumsum([len(w) + 1 for w in words])
+        found = self.library.encode("\n".join(words), add_special_tokens=False)
         owner = np.searchsorted(ends, [start for start, _ in found.offsets], side="right")
-        cuts = np.searchsorted(owner, np.arange(len(parts) + 1))
+        cuts = np.searchsorted(owner, np.arange(len(parts) + 1)) * 4
         flat = np.array(found.ids, "<u4").tobytes()
-        for part, a, b in zip(parts, (cuts[:-1] * 4).tolist(), (cuts[1:] * 4).tolist(), strict=True):
+        for part, a, b in zip(parts, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             self.ids[part] = flat[a:b]
 
+    def _learn(self, parts: list[bytes]) -> None:
+        marked, new = [], set()
+        for part in parts:
+            body = part.rstrip(MARKS)
+            if body and len(body) < len(part) and 97 <= body[-1] <= 122:
+                marked.append((part, body, part[len(body) :]))
+                new.update(marked[-1][1:])
+            else:
+                new.add(part)
+        new = [p for p in new if p not in self.ids]
+        for i in range(0, len(new), 2000):
+            self._ask(new[i : i + 2000])
+        for part, body, marks in marked:
+            self.ids[part] = self.ids[body] + self.ids[marks]
+
     def encode(self, text: bytes | None) -> bytes:
         """Ids of one text as little-endian unsigned 32-bit integers; none for null."""
-        parts = text.split() if text else []
+        parts = text.translate(LOWER).split() if text else []
         known = self.ids
-        new = [p for p in set(parts) if p not in known]
+        new = {p for p in parts if p not in known}
         if new:
             if len(known) > KEPT:
                 known.clear()
-                new = list(set(parts))
-            for i in range(0, len(new), 2000):
-                self._learn(new[i : i + 2000])
+                new = set(parts)
+            self._learn(list(new))
         return b"".join(map(known.__getitem__, parts))
