@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, packing, quality_model, quality_rules, sharding, simhash, substrings, token_orc
+from . import byte_bpe, packing, quality_model, quality_rules, sharding, simhash, substrings, token_orc, warc
 from .common import scratch, staged, table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -43,6 +43,13 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    found = warc.read(spark, folder, payloads=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
@@ -80,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substrings": op3_substrings,
     "op5_quality_model": op5_quality_model,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_warc": op7_warc,
     "op8_sharding": op8_sharding,
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
@@ -119,4 +127,13 @@ FROM base
 for _name in ("CLOSED", "SHOUT", "SEPARATOR", "BOILERPLATE"):
     OP10_SQL = OP10_SQL.replace(f"__{_name}__", getattr(quality_rules, _name).replace("'", "''"))
 
-ORACLES: dict[str, str] = {"op10_quality_rules": OP10_SQL}
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS n, sha1(html) AS digest, max(page_id) OVER (PARTITION BY html) AS best FROM p)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id <> best THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id <> best THEN best END AS refers_to
+FROM d
+"""
+
+ORACLES: dict[str, str] = {"op7_warc": OP7_SQL, "op10_quality_rules": OP10_SQL}
