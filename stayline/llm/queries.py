@@ -8,13 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, packing, quality_model, quality_rules, sharding, simhash, substrings, token_orc, warc
+from . import byte_bpe, nearest, packing, quality_model, quality_rules, sharding, simhash, substrings, token_orc, warc
 from .common import scratch, staged, table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 END_ID = 1
 SEQUENCE = 4096
+NEIGHBOURS = 20
 SHARDS = 16
 SHARD_SEED = 20_240_229
 
@@ -34,6 +35,11 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest.nearest(rows, rows.filter("vec_id % 20 = 0"), NEIGHBOURS)
+
+
 def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_model.scores(docs, quality_model.train(docs, table(spark, sf_dir, "labels")))
@@ -85,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_orc": op1_token_orc,
     "op2_simhash": op2_simhash,
     "op3_substrings": op3_substrings,
+    "op4_nearest": op4_nearest,
     "op5_quality_model": op5_quality_model,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_warc": op7_warc,
