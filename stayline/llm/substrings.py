@@ -20,24 +20,26 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
-
 WINDOW = 20
 ROWS = 2
 MAX_CELLS = 1 << 28
 #: Cells in a block, the unit in which sketches are merged.
 BLOCK = 1 << 22
-#: Windows that a task handles at once, and at most so many candidates meet in a bucket.
-AT_ONCE = 2_000_000
+#: Words that a task hashes at once.
+AT_ONCE = 400_000
+#: Windows that one sketch of a task, or one bucket of candidates, holds.
+BLOCK_WINDOWS = 2_000_000
 #: Distinct words a worker remembers the hashes of.
-KEPT = 1_000_000
+KEPT = 500_000
 
 
 class WordHashes(dict):
@@ -84,13 +86,33 @@ def _rolled(hashes: np.ndarray, size: int) -> np.ndarray:
         length *= 2
 
 
-def _windows(texts: list[bytes | None], known: WordHashes, size: int) -> Iterator[tuple]:
-    """(row of the batch, first start, two hashes) of the windows, at most ``AT_ONCE`` at a time."""
+def _groups(texts: list[bytes | None], size: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    """Rows, each with its first place, and their words, about ``AT_ONCE`` words together; longer texts are cut."""
+    rows, places, counts, words = [], [], [], []
     for row, text in enumerate(texts):
-        words = text.split() if text else []
-        for at in range(0, len(words) - size + 1, AT_ONCE):
-            low, high = known.of(words[at : at + AT_ONCE + size - 1])
-            yield row, at, _rolled(low, size), _rolled(high, size)
+        own = text.split() if text else []
+        for at in range(0, len(own) - size + 1, AT_ONCE):
+            part = own[at : at + AT_ONCE + size - 1] if len(own) > AT_ONCE else own
+            rows.append(row)
+            places.append(at)
+            counts.append(len(part))
+            words += part
+            if len(words) >= AT_ONCE:
+                yield rows, places, counts, words
+                rows, places, counts, words = [], [], [], []
+    if words:
+        yield rows, places, counts, words
+
+
+def _windows(texts: list[bytes | None], known: WordHashes, size: int) -> Iterator[tuple]:
+    """Windows as (row, start, two hashes, which are true: those that do not reach into the next text)."""
+    for rows, places, counts, words in _groups(texts, size):
+        low, high = known.of(words)
+        counts = np.array(counts)
+        of = np.repeat(np.arange(len(rows)), counts)[: len(words) - size + 1]
+        at = np.arange(len(of)) - (np.cumsum(counts) - counts)[of]
+        true = at + size <= counts[of]
+        yield np.array(rows)[of], at + np.array(places)[of], _rolled(low, size), _rolled(high, size), true
 
 
 def _gaps(values: np.ndarray) -> bytes:
@@ -120,23 +142,27 @@ def _sketches(docs: DataFrame, size: int, cells: int) -> DataFrame:
 
     def flush(hashes: list) -> Iterator[pa.RecordBatch]:
         for row in range(ROWS):
-            hit, n = np.unique(np.concatenate([h[row] for h in hashes]) & np.uint64(cells - 1), return_counts=True)
+            hit = np.sort(np.concatenate([h[row] for h in hashes]))
+            new = np.ones(len(hit), bool)
+            new[1:] = hit[1:] != hit[:-1]
+            first = np.flatnonzero(new)
+            again = np.diff(first, append=len(hit)) > 1
+            hit = hit[first].astype(np.int64)
             cuts = np.searchsorted(hit, np.arange(0, cells + BLOCK, BLOCK)).tolist()
             out = []
             for block, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                 if a < b:
-                    at = hit[a:b].astype(np.int64) - block * BLOCK
-                    again = n[a:b] > 1
-                    out.append((row * (cells // BLOCK or 1) + block, _gaps(at[~again]), _gaps(at[again])))
+                    at, more = hit[a:b] - block * BLOCK, again[a:b]
+                    out.append((row * (cells // BLOCK or 1) + block, _gaps(at[~more]), _gaps(at[more])))
             yield _batch(["block", "once", "more"], PART_KINDS, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, hashes, n = WordHashes(), [], 0
+        known, hashes, n, mask = WordHashes(), [], 0, np.uint64(cells - 1)
         for batch in batches:
-            for _, _, low, high in _windows(batch.column(0).to_pylist(), known, size):
-                hashes.append((low, high))
+            for _, _, low, high, true in _windows(batch.column(0).to_pylist(), known, size):
+                hashes.append([(h[true] & mask).astype(np.uint32) for h in (low, high)])
                 n += len(low)
-                if n >= 2 * AT_ONCE:
+                if n >= BLOCK_WINDOWS:
                     yield from flush(hashes)
                     hashes, n = [], 0
         if hashes:
@@ -186,55 +212,66 @@ def _repeated_cells(docs: DataFrame, size: int, cells: int) -> np.ndarray:
 
 ADDED = ["n_words", "n_removed", "kept"]
 STARTS = "k1 long, k2 long, starts binary"
-ENTRY = np.dtype([("h1", "<u8"), ("h2", "<u4"), ("k1", "<i8"), ("k2", "<i8"), ("pos", "<u4")])
-
-
-def _not_first(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first entry of every window, and the entries of other documents or starts."""
-    names = ("h1", "h2", "k1", "k2", "pos")
-    entries = entries[np.lexsort([entries[n] for n in reversed(names)])]
-    new = np.ones(len(entries), bool)
-    new[1:] = (entries["h1"][1:] != entries["h1"][:-1]) | (entries["h2"][1:] != entries["h2"][:-1])
-    first = entries[new][np.cumsum(new) - 1]
-    later = (first["k1"] != entries["k1"]) | (first["k2"] != entries["k2"]) | (first["pos"] != entries["pos"])
-    return entries[new], entries[later]
-
-
-def _starts(entries: np.ndarray) -> list[tuple]:
-    """Rows of ``STARTS``, one per document."""
-    if not len(entries):
-        return []
-    entries = entries[np.lexsort([entries[n] for n in ("pos", "k2", "k1")])]
-    new = np.ones(len(entries), bool)
-    new[1:] = (entries["k1"][1:] != entries["k1"][:-1]) | (entries["k2"][1:] != entries["k2"][:-1])
-    cuts = [*np.flatnonzero(new).tolist(), len(entries)]
-    return [
-        (int(entries["k1"][a]), int(entries["k2"][a]), _gaps(np.unique(entries["pos"][a:b])))
-        for a, b in zip(cuts, cuts[1:], strict=False)
-    ]
-
-
-def _packed(entries: np.ndarray) -> bytes:
-    import zstandard
-
-    columns = [entries["h1"], entries["h2"], *(np.diff(entries[n], prepend=entries[n][:1] * 0) for n in ("k1", "k2", "pos"))]
+#: A candidate: the hash of its words, its document's key, its start.
+ENTRY = {"h1": "<u8", "h2": "<u4", "k1": "<i8", "k2": "<i8", "pos": "<u4"}
+Entries = dict[str, np.ndarray]
+
+
+def _taken(entries: Entries, which: np.ndarray) -> Entries:
+    return {n: a[which] for n, a in entries.items()}
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([a[1:] != a[:-1] for a in columns])
+    return new
+
+
+def _later(entries: Entries) -> tuple[np.ndarray, Entries]:
+    """Which entries are not the first of their window, being of another document or start; those entries."""
+    order = np.argsort(entries["h1"])
+    h1 = entries["h1"][order]
+    new = _changes(h1)
+    order = order[~(new & np.append(new[1:], True))]  # a hash that is alone says no more
+    e = _taken(entries, order)
+    within = np.lexsort([e[n] for n in ("pos", "k2", "k1", "h2", "h1")])
+    e, order = _taken(e, within), order[within]
+    new = _changes(e["h1"], e["h2"])
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    later = np.logical_or.reduce([e[n][first] != e[n] for n in ("k1", "k2", "pos")]) if len(first) else new
+    return order[later], _taken(e, later)
+
+
+def _packed(entries: Entries) -> bytes:
+    """Entries in order of document and start, as bytes: hashes as they are, the others as steps."""
+    columns = []
+    for name, a in entries.items():
+        columns.append(a if name in ("h1", "h2") else np.diff(a, prepend=a[:1] * 0))
     return zstandard.compress(b"".join(np.ascontiguousarray(c).tobytes() for c in columns), 1)
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    import zstandard
-
-    raw = zstandard.decompress(data)
-    n = len(raw) // ENTRY.itemsize
-    out, at = np.empty(n, ENTRY), 0
-    for name in ENTRY.names:
-        kind = ENTRY[name]
-        column = np.frombuffer(raw, kind, n, at)
-        out[name] = column if name in ("h1", "h2") else np.cumsum(column, dtype=kind)
-        at += n * kind.itemsize
+def _unpacked(data: bytes, names: tuple[str, ...] = tuple(ENTRY)) -> Entries:
+    raw, out, at = zstandard.decompress(data), {}, 0
+    n = len(raw) // sum(np.dtype(ENTRY[name]).itemsize for name in names)
+    for name in names:
+        column = np.frombuffer(raw, ENTRY[name], n, at)
+        out[name] = column if name in ("h1", "h2") else np.cumsum(column, dtype=ENTRY[name])
+        at += column.nbytes
     return out
 
 
+def _dealt(entries: Entries, part: np.ndarray, parts: int, names: tuple[str, ...]) -> Iterator[tuple[int, bytes]]:
+    """Entries packed by part, each in order of document and start."""
+    order = np.lexsort([entries[n] for n in ("pos", "k2", "k1")])
+    order = order[np.argsort(part[order], kind="stable")]
+    cuts = np.searchsorted(part[order], np.arange(parts + 1)).tolist()
+    for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        if a < b:
+            yield i, _packed({n: entries[n][order[a:b]] for n in names})
+
+
 def _key() -> list:
     """k1, k2: what orders and names a document."""
     return [
@@ -243,60 +280,80 @@ def _key() -> list:
     ]
 
 
+FOUND = ("k1", "k2", "pos")
+DEALT = "bucket int, chunk int, packed binary"
+
+
+def _in_chunks(later: Entries, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """Decided starts by chunk, a set of documents."""
+    mixed = _joined(later["k1"].view(np.uint64), later["k2"].view(np.uint64))
+    return _dealt(later, (mixed % np.uint64(buckets)).astype(np.int64), buckets, FOUND)
+
+
 def _candidates(docs: DataFrame, size: int, cells: int, buckets: int, bits) -> DataFrame:
-    """Rows of ``STARTS`` already decided, and rows (bucket, packed) of first occurrences."""
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
-    names = ["k1", "k2", "starts", "bucket", "packed"]
-
-    def flush(found: list[np.ndarray]) -> pa.RecordBatch:
-        first, later = _not_first(np.concatenate(found))
-        rows = [(*row, None, None) for row in _starts(later)]
-        first = first[np.lexsort([first[n] for n in ("pos", "k2", "k1")])]
-        bucket = (first["h1"] >> np.uint64(40)) % np.uint64(buckets)
-        order = np.argsort(bucket, kind="stable")
-        first, cuts = first[order], np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
-        for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            if i < j:
-                rows.append((None, None, None, b, _packed(first[i:j])))
+    """Rows of ``DEALT``: with a chunk, starts already decided; without, first occurrences, by bucket of their hash."""
+    kinds, names = [pa.int32(), pa.int32(), pa.binary()], ["bucket", "chunk", "packed"]
+
+    def flush(found: list[Entries]) -> pa.RecordBatch:
+        entries = {n: np.concatenate([f[n] for f in found]) for n in ENTRY}
+        which, later = _later(entries)
+        rows = [(chunk, chunk, packed) for chunk, packed in _in_chunks(later, buckets)]
+        stays = np.ones(len(entries["h1"]), bool)
+        stays[which] = False
+        first = _taken(entries, stays)
+        bucket = ((first["h1"] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+        rows += [(b, None, packed) for b, packed in _dealt(first, bucket, buckets, tuple(ENTRY))]
         return _batch(names, kinds, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeated, known, found, n = bits.value, WordHashes(), [], 0
         mask = np.uint64(cells - 1)
         for batch in batches:
-            k1, k2 = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for row, at, low, high in _windows(batch.column(2).to_pylist(), known, size):
-                hits = np.ones(len(low), bool)
+            k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for row, at, low, high, hits in _windows(batch.column(2).to_pylist(), known, size):
                 for bitmap, hashed in zip(repeated, (low, high), strict=True):
                     cell = hashed & mask
                     byte = bitmap[(cell >> np.uint64(3)).astype(np.int64)]
                     hits &= (byte >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
                 hits = np.flatnonzero(hits)
                 if len(hits):
-                    part = np.empty(len(hits), ENTRY)
-                    part["h1"], part["h2"] = low[hits], high[hits] >> np.uint64(32)
-                    part["k1"], part["k2"], part["pos"] = k1[row], k2[row], hits + at
-                    found.append(part)
+                    row = row[hits]
+                    part = [low[hits], (high[hits] >> np.uint64(32)), k1[row], k2[row], at[hits]]
+                    found.append({n: a.astype(k) for (n, k), a in zip(ENTRY.items(), part, strict=True)})
                     n += len(hits)
-                    if n >= AT_ONCE:
+                    if n >= BLOCK_WINDOWS // 2:
                         yield flush(found)
                         found, n = [], 0
         if found:
             yield flush(found)
 
     rows = docs.select(*_key(), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"{STARTS}, bucket int, packed binary")
-
-
-def _decided(firsts: DataFrame) -> DataFrame:
-    """Rows of ``STARTS`` from the first occurrences of one bucket."""
-
-    def run(table: pa.Table) -> pa.Table:
-        entries = np.concatenate([_unpacked(x) for x in table.column("packed").to_pylist()])
-        rows = _starts(_not_first(entries)[1])
+    return rows.mapInArrow(run, DEALT)
+
+
+def _starts(candidates: DataFrame, buckets: int) -> DataFrame:
+    """Rows of ``STARTS``, one per document that loses words."""
+
+    def decide(table: pa.Table) -> pa.Table:
+        chunks, packed = table.column("chunk").to_pylist(), table.column("packed").to_pylist()
+        rows = [(c, p) for c, p in zip(chunks, packed, strict=True) if c is not None]
+        firsts = [_unpacked(p) for c, p in zip(chunks, packed, strict=True) if c is None]
+        if firsts:
+            _, later = _later({n: np.concatenate([f[n] for f in firsts]) for n in ENTRY})
+            rows += _in_chunks(later, buckets)
+        return pa.Table.from_batches([_batch(["chunk", "packed"], [pa.int32(), pa.binary()], rows)])
+
+    def gather(table: pa.Table) -> pa.Table:
+        parts = [_unpacked(p, FOUND) for p in table.column("packed").to_pylist()]
+        e = {n: np.concatenate([p[n] for p in parts]) for n in FOUND}
+        e = _taken(e, np.lexsort([e[n] for n in ("pos", "k2", "k1")]))
+        e = _taken(e, _changes(*e.values()))
+        cuts = [*np.flatnonzero(_changes(e["k1"], e["k2"])).tolist(), len(e["k1"])]
+        rows = [(int(e["k1"][a]), int(e["k2"][a]), _gaps(e["pos"][a:b])) for a, b in zip(cuts, cuts[1:], strict=False)]
         return pa.Table.from_batches([_batch(["k1", "k2", "starts"], [pa.int64(), pa.int64(), pa.binary()], rows)])
 
-    return firsts.groupBy("bucket").applyInArrow(run, STARTS)
+    decided = candidates.groupBy("bucket").applyInArrow(decide, "chunk int, packed binary")
+    return decided.groupBy("chunk").applyInArrow(gather, STARTS)
 
 
 def deduplicated(docs: DataFrame, size: int = WINDOW, max_cells: int = MAX_CELLS) -> DataFrame:
@@ -306,26 +363,22 @@ def deduplicated(docs: DataFrame, size: int = WINDOW, max_cells: int = MAX_CELLS
     windows = length // 6 + 1
     cells = min(max_cells, max(1 << 16, 1 << int(2 * windows - 1).bit_length()))
     bits = spark.sparkContext.broadcast(_repeated_cells(docs, size, cells))
-    buckets = windows // AT_ONCE + 16
-    found = staged(_candidates(docs, size, cells, buckets, bits), "candidates")
-    starts = found.filter("starts IS NOT NULL").select("k1", "k2", "starts")
-    starts = starts.union(_decided(found.filter("bucket IS NOT NULL").select("bucket", "packed")))
-    starts = starts.groupBy("k1", "k2").agg(F.collect_list("starts").alias("starts"))
+    buckets = windows // BLOCK_WINDOWS + 16
+    starts = _starts(_candidates(docs, size, cells, buckets, bits), buckets)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, gone, kept = [], [], []
             texts, lists = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for text, parts in zip(texts, lists, strict=True):
+            for text, starts_of in zip(texts, lists, strict=True):
                 words = text.split() if text else []
                 counts.append(len(words))
-                if parts:
+                if starts_of:
+                    at = _ungapped(starts_of)  # all different
                     edges = np.zeros(len(words) + 1, np.int64)
-                    for at in map(_ungapped, parts):
-                        np.add.at(edges, at, 1)
-                        np.add.at(edges, at + size, -1)
-                    stays = np.cumsum(edges)[:-1] == 0
-                    words = [words[i] for i in np.flatnonzero(stays).tolist()]
+                    edges[at] += 1
+                    edges[at + size] -= 1
+                    words = list(compress(words, (np.cumsum(edges)[:-1] == 0).tolist()))
                 gone.append(counts[-1] - len(words))
                 kept.append(b" ".join(words))
             new = [pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
