@@ -27,15 +27,18 @@ def _ship(application: str) -> None:
     SparkSession.active().sparkContext.addPyFile(path)
 
 
+@lru_cache(maxsize=4)
+def _own_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="llm-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; one of its own only in local mode without that setting."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        folder = tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        return folder
+        return _own_folder(spark.sparkContext.applicationId)
     raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
