@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from stayline.functions import codes
 from stayline.functions.numbers import sixtieths
 from stayline.operators.grid import hour_grid, with_length
+from stayline.operators.shape import leading_rows
 from stayline.plans import cohort, fluid, panel, pressor, procedures, study
 from stayline.session import tune
-from stayline.sources.stages import Stages
 
 from . import oracles
-from .standins import Tables, clinical_tables
+from .standins import Tables, clinical_tables, sink
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,7 +89,7 @@ def procedure_dedup(t):
 
 
 def _echo(t) -> DataFrame:
-    return procedures.per_stay(t["procedureevents"], t["icustay_times"], Stages(t.spark))
+    return procedures.per_stay(t["procedureevents"], t["icustay_times"], sink(t.spark))
 
 
 @query("select * from echo")
@@ -246,7 +246,7 @@ def daily_balance_wide(t):
 
 @query("select * from fluid_hours")
 def stage_sink_readback(t):
-    return Stages(t.spark)("fluid_hourly", fluid.hourly(*study.fluid_inputs(t)))
+    return sink(t.spark)("fluid_hourly", fluid.hourly(*study.fluid_inputs(t)))
 
 
 # --- cohort ------------------------------------------------------------------------
@@ -256,6 +256,11 @@ def _stay_rows(t) -> DataFrame:
     return cohort.stays_with_outcome(*[t[n] for n in names])
 
 
+def _listed(stays: DataFrame) -> DataFrame:
+    """Without the flag that is carried along for the renal status."""
+    return stays.drop("hx")
+
+
 def _septic(t) -> DataFrame:
     return cohort.septic(cohort.eligible(_stay_rows(t), t["diagnoses_icd"]), t["sepsis3"])
 
@@ -278,8 +283,13 @@ def _base(t) -> DataFrame:
     return t["cohort_base"]
 
 
+def _episodes(t, base: DataFrame) -> DataFrame:
+    doses = [t[n] for n in ("dobutamine", "inputevents", "epinephrine", "vasopressin")]
+    return cohort.drug_episodes(*doses, base)
+
+
 def _procedures(t, base: DataFrame) -> DataFrame:
-    return Stages(t.spark)("first_procedure", cohort.first_procedure(base, _echo(t)))
+    return sink(t.spark)("first_procedure", cohort.first_procedure(base, _echo(t)))
 
 
 @query("select * from first_service_rows")
@@ -298,36 +308,37 @@ def text_class(t):
 
 
 @query(
-    f"""select hadm_id, max(case when icd_code in ({oracles._list(codes.ARREST_CODES)}) and seq_num < 3
-        then 1 else 0 end) as card_arrest from diagnoses_icd group by hadm_id"""
+    f"""select hadm_id, bool_or(seq_num in (1, 2) and icd_code in ({oracles._list(codes.ARREST_CODES)}))::int
+    as card_arrest from diagnoses_icd group by hadm_id"""
 )
 def code_flag(t):
-    return cohort.code_flags(t["diagnoses_icd"], codes.ARREST_CODES, "card_arrest", top=3)
+    return cohort.diagnosis_flags(t["diagnoses_icd"]).select("hadm_id", "card_arrest")
 
 
 @query("select * from eligible")
 def eligibility(t):
-    return cohort.eligible(_stay_rows(t), t["diagnoses_icd"])
+    return _listed(cohort.eligible(_stay_rows(t), t["diagnoses_icd"]))
 
 
 @query("select * from septic")
 def sepsis_window(t):
-    return _septic(t)
+    return _listed(_septic(t))
 
 
 @query("select * from first_stay_rows")
 def first_stay(t):
-    return cohort.first_stays(_septic(t))
+    return _listed(cohort.first_stays(_septic(t)))
 
 
 @query("select * from admitted")
 def year_period(t):
-    return _admitted(t)
+    return _listed(_admitted(t))
 
 
 @query("select * from renal_rows")
 def stage_precedence(t):
-    return cohort.renal_status(_admitted(t), t["diagnoses_icd"], t["kdigo_stages"], t["rrt"])
+    rows = cohort.with_renal_status(_admitted(t), t["kdigo_stages"], t["rrt"])
+    return rows.select("stay_id", "hx_dialysis", "kdigo")
 
 
 @query("select * from score_days")
@@ -336,13 +347,10 @@ def last_score_by_day(t):
 
 
 def _covariates(t) -> DataFrame:
-    stays = _admitted(t)
     built = _wide_stages(t)
-    renal = cohort.renal_status(stays, t["diagnoses_icd"], t["kdigo_stages"], t["rrt"])
-    known = [t[n] for n in ("first_day_weight", "apsiii", "charlson")]
-    return cohort.with_covariates(
-        stays, *known, renal, built["vasopressor"], built["fluid_balance"], cohort.scores_by_day(t["sofa"])
-    )
+    known = [t[n] for n in ("first_day_weight", "apsiii", "charlson", "kdigo_stages", "rrt")]
+    wide = [built["vasopressor"], built["fluid_balance"], cohort.scores_by_day(t["sofa"])]
+    return cohort.with_covariates(_admitted(t), *known, *wide)
 
 
 @query("select * from covariates")
@@ -368,14 +376,7 @@ def first_procedure_5d(t):
     )
 )
 def drug_episodes(t):
-    doses = [t[n] for n in ("dobutamine", "inputevents", "epinephrine", "vasopressin")]
-    named = [
-        rows.withColumn("drug", F.lit(n)) for n, rows in cohort.all_episodes(*doses, _base(t)).items()
-    ]
-    first, *rest = named
-    for rows in rest:
-        first = first.unionByName(rows)
-    return first
+    return _episodes(t, _base(t))
 
 
 @query("select stay_id, starttime, o as diuretic_offset, diuretic_amount, diuretic_infusion from diuretic_rows")
@@ -438,17 +439,8 @@ def vent_blocks(t):
 )
 def block_drug_change(t):
     base = _base(t)
-    doses = [t[n] for n in ("dobutamine", "inputevents", "epinephrine", "vasopressin")]
-    parts = [
-        panel.change_blocks(rows, n).select(
-            F.lit(n).alias("drug"), "stay_id", "block", F.col(f"{n}_rate").alias("rate"),
-            F.col(f"{n}_change").alias("change"),
-        )
-        for n, rows in cohort.all_episodes(*doses, base).items()
-    ]
-    first, *rest = parts
-    for rows in rest:
-        first = first.unionByName(rows)
+    rows = panel.change_blocks(_episodes(t, base))
+    first = leading_rows(rows, ["drug", "stay_id", "block"], [F.col("begin_offset")]).drop("begin_offset")
     return _on_grid(first, t, base)
 
 
@@ -472,4 +464,4 @@ def block_score_lead(t):
 
 @query("select * from panel")
 def block_panel(t):
-    return study.run(t, Stages(t.spark))
+    return study.run(t, sink(t.spark))

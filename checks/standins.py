@@ -9,12 +9,13 @@ from the handful of functions in ``Dialect``; the operators are never shared.
 from __future__ import annotations
 
 import re
+import tempfile
 from dataclasses import dataclass
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stayline.functions.codes import MONITOR_MEASURES
+from stayline.functions.codes import CARDIAC_UNITS, MONITOR_MEASURES
 from stayline.sources.stages import Stages
 from stayline.sources.tables import SCHEMAS, typed
 
@@ -82,19 +83,21 @@ def definitions(d: Dialect) -> dict[str, str]:
     dose = {
         name: f"""
             select stay_id, {t('a')} as starttime, {t('b')} as endtime,
-                case when e % 13 = 0 then 0 when e % 17 = 0 then null else v / 15 end as vaso_rate
+                case when e % 13 = 0 or not given then 0 when e % 17 = 0 then null else v / 15 end as vaso_rate
             from (
-                select stay_id, e, v, sec as a, sec + cast(floor(v * 3) as bigint) * 60 as b
-                from ev where e % 4 = {part}
+                select stay_id, e, v, e % 4 = {part} as given, sec as a,
+                    sec + cast(floor(v * 3) as bigint) * 60 as b
+                from ev
                 union all
-                select stay_id, e, v / 2, sec + cast(floor(v * 3) as bigint) * 60 + 1800,
+                select stay_id, e, v / 2, e % 4 = {part} and e % 8 < 4,
+                    sec + cast(floor(v * 3) as bigint) * 60 + 1800,
                     sec + cast(floor(v * 3) as bigint) * 60 + 1800 + k * 60
-                from ev where e % 4 = {part} and e % 8 < 4
+                from ev
             ) rows"""
         for part, name in enumerate(["dobutamine", "epinephrine", "vasopressin"])
     }
     measures = ", ".join(
-        f"case when (e + {i}) % 16 = 3 then v when (e + {i}) % 5 = 0 then null else 0.0 end as {m}"
+        f"case when e % 4 = 3 and (e + {i}) % 16 = 3 then v when (e + {i}) % 5 = 0 then null else 0.0 end as {m}"
         for i, m in enumerate(MONITOR_MEASURES)
     )
     return {
@@ -119,7 +122,7 @@ def definitions(d: Dialect) -> dict[str, str]:
             from st""",
         "icustays": f"""
             select u as subject_id, stay_id as hadm_id, stay_id,
-                {d.pick(['MICU', 'SICU', 'Coronary Care Unit (CCU)', 'TSICU', 'MICU', 'CVICU', None], 'stay_id')}
+                {d.pick(['MICU', 'SICU', 'Coronary Care Unit (CCU)', 'TSICU', 'MICU', CARDIAC_UNITS[-1], None], 'stay_id')}
                     as first_careunit
             from st""",
         "icustay_detail": f"""
@@ -247,8 +250,8 @@ def definitions(d: Dialect) -> dict[str, str]:
             select stay_id, {at} as starttime, {t('sec + cast(floor(v * 6) as bigint) * 60')} as endtime,
                 {d.pick(['InvasiveVent', 'SupplementalOxygen', 'NonInvasiveVent', 'None', 'Tracheostomy'], 'k')}
                     as ventilation_status
-            from ev where e % 5 = 0""",
-        "vitals": f"select stay_id, {at} as charttime, e as rn, {measures} from ev where e % 4 = 3",
+            from ev""",
+        "vitals": f"select stay_id, {at} as charttime, e as rn, {measures} from ev",
         "oxygen_treat": f"""
             select stay_id, hr, 100.0 + (stay_id * 7 + hr * 13) % 400 as sf_ratio
             from (select stay_id, {d.series('hours')} as hr from st) rows where (stay_id + hr) % 6 = 0""",
@@ -283,6 +286,12 @@ def _typed_sql(name: str, select: str) -> str:
 DUCKDB = {n: _typed_sql(n, s) for n, s in definitions(Dialect(spark=False)).items()}
 
 
+def sink(spark: SparkSession) -> Stages:
+    """Stages in the cluster's shared folder; in a local session without one, in a temporary folder."""
+    local = spark.sparkContext.master.startswith("local[") and not spark.conf.get("spark.checkpoint.dir", None)
+    return Stages(spark, tempfile.mkdtemp(prefix="stayline-") if local else None)
+
+
 class Tables(dict):
     """The clinical tables, derived by Spark from all rows of the driver tables in ``folder``.
 
@@ -294,7 +303,7 @@ class Tables(dict):
         super().__init__()
         self.spark, self.folder = spark, folder
         self.parts = definitions(Dialect(spark=True))
-        self.written = Stages(spark)
+        self.written = sink(spark)
         for source in SOURCES:
             spark.read.parquet(f"{folder}/{source}.parquet").createOrReplaceTempView(
                 f"driver_{source}"

@@ -37,3 +37,8 @@ def bucket_from(offset: Column, width: int) -> Column:
 def bucket_upto(offset: Column, width: int) -> Column:
     """Bucket that holds ``offset`` when buckets are ``(k*width, (k+1)*width]``."""
     return F.ceil(offset / F.lit(width)) - F.lit(1)
+
+
+def clock_text(time: Column) -> Column:
+    """``HH:MM`` of a timestamp without zone, whatever the session's zone."""
+    return F.concat_ws(":", *[F.lpad(part(time).cast("string"), 2, "0") for part in (F.hour, F.minute)])

@@ -24,6 +24,25 @@ def leading_rows(df: DataFrame, keys: list[str], order: list[Column]) -> DataFra
     return ranked.filter(F.col("_n") == 1).drop("_n")
 
 
+def leading_wide(
+    df: DataFrame, keys: list[str], kind: str, kinds: list[str], order: str, columns: dict[str, str]
+) -> DataFrame:
+    """The leading rows of each kind side by side, as ``columns`` (source: name with ``{}`` for the kind).
+
+    Rows that tie for first are all kept: every combination of the kinds' leading rows is a
+    row.  One ranking and one grouping serve all kinds; a list holds the ties of one kind.
+    """
+    leading = leading_rows(df, [*keys, kind], [F.col(order)])
+    cell = F.struct(*columns)
+    wide = leading.groupBy(*keys).agg(
+        *[F.collect_list(F.when(F.col(kind) == k, cell)).alias(f"_{k}") for k in kinds]
+    )
+    for k in kinds:
+        wide = wide.withColumn(f"_{k}", F.explode_outer(f"_{k}"))
+    cells = [F.col(f"_{k}")[source].alias(name.format(k)) for k in kinds for source, name in columns.items()]
+    return wide.select(*keys, *cells)
+
+
 def first_value(value: str, order: list[str], name: str) -> Column:
     """Aggregate: ``value`` of the first row by ``order``, NULL keys last."""
     parts = []

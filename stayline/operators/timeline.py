@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 def with_neighbours(
     df: DataFrame,
-    key: str,
+    key: str | list[str],
     order: str,
     chunk: Column,
     previous: dict[str, str] | None = None,
@@ -27,8 +27,9 @@ def with_neighbours(
     ``order`` must be unique within a key.  ``chunk`` must not decrease with ``order``.
     """
     previous, following = previous or {}, following or {}
+    keys = [key] if isinstance(key, str) else key
     by_order = F.col(order).asc_nulls_last()
-    local = Window.partitionBy(key, "_chunk").orderBy(by_order)
+    local = Window.partitionBy(*keys, "_chunk").orderBy(by_order)
     df = df.withColumn("_chunk", chunk)
     df = df.withColumns(
         {"_has_prev": F.lag(F.lit(1)).over(local), "_has_next": F.lead(F.lit(1)).over(local)}
@@ -39,7 +40,7 @@ def with_neighbours(
     df = df.withColumn("_edge", edge)
     # inner rows keep their chunk as group; edge rows share the group NULL
     df = df.withColumn("_group", F.when(~F.col("_edge"), F.col("_chunk")))
-    across = Window.partitionBy(key, "_group").orderBy(by_order)
+    across = Window.partitionBy(*keys, "_group").orderBy(by_order)
     columns = {}
     for name, source in previous.items():
         columns[name] = F.when(
@@ -67,18 +68,19 @@ def running_sum(column: Column, key: str, order: str) -> Column:
 
 
 def episode_flags(
-    df: DataFrame, key: str, order: str, begin: str, end: str, gap: int = 60
+    df: DataFrame, key: str | list[str], order: str, begin: str, end: str, gap: int = 60
 ) -> DataFrame:
     """Mark rows that open (``change = 'start'``) and close (``is_end = 1``) an episode.
 
     A row opens one if nothing came before it or more than ``gap`` minutes passed since the
     previous end; it closes one if nothing follows or the next begins more than ``gap`` later.
+    ``begin`` is the offset of ``order`` in minutes.
     """
     df = with_neighbours(
         df.withColumn("_one", F.lit(1)),
         key,
         order,
-        F.date_trunc("hour", F.col(order)),
+        F.floor(F.col(begin) / 60),
         previous={"_prev_row": "_one", "_prev_end": end},
         following={"_next_begin": begin},
     )
@@ -89,3 +91,16 @@ def episode_flags(
         .withColumn("is_end", F.when(closes, 1).otherwise(0))
         .drop("_one", "_prev_row", "_prev_end", "_next_begin")
     )
+
+
+def change_within(low: Column, high: Column, begin: str = "begin_offset", end: str = "end_offset") -> Column:
+    """What an episode does in ``[low, high)``: its ``change``, ``stop``, or NULL for nothing.
+
+    An episode that already runs at ``low`` can only stop, and may do so at ``high`` itself;
+    any other can only start.
+    """
+    running = F.col(begin) < low
+    at = F.when(running, F.col(end)).otherwise(F.col(begin))
+    inside = (at >= low) & ((at < high) | (running & (at == high)))
+    stop = F.when(F.col("is_end") == 1, "stop")
+    return F.when(inside, F.when(running, stop).otherwise(F.col("change")))

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame
 
-from ..operators.grid import with_length
+from ..operators.grid import BLOCK_LIMIT, with_length
 from ..sources.stages import keep
 from . import cohort, fluid, panel, pressor, procedures
 
@@ -46,10 +46,27 @@ def stages(tables: Tables, sink: Sink) -> Tables:
 
 
 def side_by_side(steps: dict[str, Callable]) -> dict:
-    """Results of independent steps by name; their Spark jobs share the cluster."""
-    with ThreadPoolExecutor(len(steps)) as pool:
-        started = {name: pool.submit(step) for name, step in steps.items()}
-        return {name: step.result() for name, step in started.items()}
+    """Results of independent steps by name; their Spark jobs share the cluster.
+
+    The threads take over the caller's job group and pool.  The first failure is raised once
+    all steps have ended.
+    """
+    results, failures = {}, []
+
+    def work(name: str, step: Callable) -> None:
+        try:
+            results[name] = step()
+        except BaseException as failure:
+            failures.append(failure)
+
+    threads = [InheritableThread(target=work, args=item) for item in steps.items()]
+    for thread in threads:
+        thread.start()
+    for thread in threads:
+        thread.join()
+    if failures:
+        raise failures[0]
+    return {name: results[name] for name in steps}
 
 
 def base(tables: Tables, built: Tables) -> DataFrame:
@@ -60,18 +77,17 @@ def base(tables: Tables, built: Tables) -> DataFrame:
     )
     stays = cohort.septic(cohort.eligible(stays, t["diagnoses_icd"]), t["sepsis3"])
     stays = cohort.with_admission(cohort.first_stays(stays), t["admissions"], t["patients"])
-    renal = cohort.renal_status(stays, t["diagnoses_icd"], t["kdigo_stages"], t["rrt"])
-    wide = cohort.with_covariates(
-        stays,
+    return cohort.with_covariates(
+        cohort.exposed(stays, built["vasopressor"]),
         t["first_day_weight"],
         t["apsiii"],
         t["charlson"],
-        renal,
+        t["kdigo_stages"],
+        t["rrt"],
         built["vasopressor"],
         built["fluid_balance"],
         cohort.scores_by_day(t["sofa"]),
     )
-    return cohort.exposed(wide)
 
 
 def events(tables: Tables, base: DataFrame, sink: Sink = keep) -> dict:
@@ -80,40 +96,40 @@ def events(tables: Tables, base: DataFrame, sink: Sink = keep) -> dict:
     They are few next to their sources and read twice, so ``sink`` should store them.
     """
     t = tables
-    episodes = cohort.all_episodes(
-        t["dobutamine"], t["inputevents"], t["epinephrine"], t["vasopressin"], base
-    )
+    doses = [t[n] for n in ("dobutamine", "inputevents", "epinephrine", "vasopressin")]
     rows = {
         "bolus": cohort.base_boluses(t["inputevents"], base),
         "diuretic": cohort.diuretics(t["prescriptions"], t["pharmacy"], base),
         "rate_control": cohort.rate_control(t["prescriptions"], t["pharmacy"], base),
         "monitor": cohort.first_monitor(t["vitals"], base),
-        **{f"episodes_{name}": df for name, df in episodes.items()},
+        "episodes": cohort.drug_episodes(*doses, base),
     }
-    stored = side_by_side({n: (lambda n=n, df=df: sink(n, df)) for n, df in rows.items()})
-    stored["episodes"] = {name: stored.pop(f"episodes_{name}") for name in episodes}
-    return stored
+    return side_by_side({n: (lambda n=n, df=df: sink(n, df)) for n, df in rows.items()})
 
 
-def cohort_panel(tables: Tables, built: Tables, base: DataFrame, sink: Sink = keep) -> DataFrame:
-    """The panel for the stays in ``base``; ``base`` should be a stage, it is read many times."""
+def cohort_panel(
+    tables: Tables, built: Tables, base: DataFrame, sink: Sink = keep, limit: int = BLOCK_LIMIT
+) -> DataFrame:
+    """The panel for the stays in ``base``; ``base`` should be a stage, it is read many times.
+
+    ``limit``: minutes of a stay that the blocks, and the first procedure, may lie in.
+    """
     ids = base.select("stay_id")
 
     def own(df: DataFrame) -> DataFrame:
         return df.join(ids, "stay_id", "left_semi")
 
     e = events(tables, base, sink)
-    episodes = e["episodes"]
-    first = sink("first_procedure", cohort.first_procedure(base, built["tte"]))
+    first = sink("first_procedure", cohort.first_procedure(base, built["tte"], limit))
     after = cohort.after_procedure(
-        first, e["bolus"], episodes, e["diuretic"], e["rate_control"], e["monitor"]
+        first, e["bolus"], e["episodes"], e["diuretic"], e["rate_control"], e["monitor"]
     )
-    grid = panel.blocks(base, tables["icustay_times"])
+    grid = panel.blocks(base, tables["icustay_times"], limit)
     vent = panel.ventilation_intervals(own(tables["ventilation"]), tables["icustay_times"])
     summed = [
         panel.pressor_blocks(own(built["vasopressor_hourly"])),
         panel.bolus_blocks(e["bolus"]),
-        panel.ventilation_blocks(vent),
+        panel.ventilation_blocks(vent, limit),
         panel.oxygen_blocks(own(tables["oxygen_treat"])),
         panel.diuretic_blocks(e["diuretic"]),
         panel.rate_control_blocks(e["rate_control"]),
@@ -126,12 +142,16 @@ def cohort_panel(tables: Tables, built: Tables, base: DataFrame, sink: Sink = ke
         summed,
         panel.balance_blocks(own(built["fluid_hourly"])),
         panel.score_blocks(own(tables["sofa"]), grid),
-        {n: panel.change_blocks(rows, n) for n, rows in episodes.items()},
+        panel.first_changes(panel.change_blocks(e["episodes"])),
     )
 
 
-def run(tables: Tables, sink: Sink) -> DataFrame:
+#: What a run leaves behind for its users; all other stages are helpers.
+PUBLIC = ("vasopressor_hourly", "vasopressor", "fluid_hourly", "fluid_balance", "tte")
+
+
+def run(tables: Tables, sink: Sink, limit: int = BLOCK_LIMIT) -> DataFrame:
     """All stages through ``sink``, then the ordered panel."""
     built = stages(tables, sink)
     cohort_base = sink("cohort_base", base(tables, built))
-    return cohort_panel(tables, built, cohort_base, sink).orderBy("stay_id", "block")
+    return cohort_panel(tables, built, cohort_base, sink, limit).orderBy("stay_id", "block")

@@ -1,15 +1,17 @@
 """Plans on hand-made stays, their shape, and a stay that holds most of the rows."""
 
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from checks.catalog import QUERIES
+from stayline.functions.timing import clock_text
 from stayline.operators.grid import with_length
 from stayline.plans import cohort, fluid, panel, pressor, procedures
 from stayline.sources.stages import CatalogStages, Stages, shared_folder
-from stayline.sources.tables import SCHEMAS, read_parquet
+from stayline.sources.tables import SCHEMAS, read_catalog, read_parquet
 
 T0 = datetime(2024, 1, 1)
 
@@ -161,8 +163,10 @@ def test_drug_changes_by_block_equal_range_join(spark):
     episodes = spark.createDataFrame(
         [(s, b, e, 1.0, "start" if i % 2 else None, i % 3 > 0) for i, (s, b, e) in enumerate(spans)],
         "stay_id long, begin_offset long, end_offset long, rate double, change string, ended boolean",
-    ).withColumn("is_end", F.col("ended").cast("int"))
-    got = rows(panel.change_blocks(episodes, "x"), "block", "x_change")
+    ).withColumns({"is_end": F.col("ended").cast("int"), "drug": F.lit("milrinone")})
+    first = panel.first_changes(panel.change_blocks(episodes))
+    got = rows(first.filter("milrinone_change is not null"), "block", "milrinone_change")
+    assert first.filter("dobutamin_change is not null").count() == 0
     want = []
     for block in range(31):
         low, high = block * 240 - 240, 60 if block == 0 else block * 240
@@ -196,16 +200,70 @@ def test_stages_write_read_and_overwrite(spark, tmp_path):
     sink = Stages(spark, str(tmp_path))
     sink("stage", spark.range(5).toDF("stay_id"))
     assert sink("stage", spark.range(3).toDF("stay_id")).count() == 3
-    assert shared_folder(spark)
-    database = CatalogStages(spark, "default")
-    assert database("stayline_test_stage", spark.range(2).toDF("stay_id")).count() == 2
-    spark.sql("drop table stayline_test_stage")
+    sink("helper", spark.range(2).toDF("stay_id"))
+    sink.drop(but=["stage"])
+    assert {p.name for p in tmp_path.iterdir()} == {"stage"}
     Stages(spark, str(tmp_path / "in"))("pharmacy", table(spark, "pharmacy", [(1, "BID")]))
     for name in SCHEMAS:
         Stages(spark, str(tmp_path / "all"))(name, table(spark, name, []))
     assert set(read_parquet(spark, str(tmp_path / "all"))) == set(SCHEMAS)
 
 
+def test_stages_need_a_shared_folder(spark):
+    assert Stages(spark).folder.startswith(spark.conf.get("spark.checkpoint.dir"))
+    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default))
+    for make in (shared_folder, Stages):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            make(bare)
+    assert Stages(bare, "/some/folder").folder == "/some/folder"
+
+
+def test_catalog_stages_keep_public_names_only(spark):
+    spark.sql("create database if not exists stayline_test")
+    spark.range(9).write.mode("overwrite").saveAsTable("stayline_test.bolus")
+    database = CatalogStages(spark, "stayline_test", public=["tte"])
+    for name in ("tte", "bolus"):
+        assert database(name, spark.range(2).toDF("stay_id")).count() == 2
+    assert spark.table("stayline_test.bolus").count() == 9
+    database.drop(but=["tte"])
+    left = {r.tableName for r in spark.sql("show tables in stayline_test").collect()}
+    assert left == {"bolus", "tte"}
+    for name in SCHEMAS:
+        CatalogStages(spark, "stayline_test", SCHEMAS)(name, table(spark, name, []))
+    found = read_catalog(spark, {n: f"stayline_test.{n}" for n in SCHEMAS})
+    assert all(found[n].columns == [f.split()[0] for f in SCHEMAS[n].split(", ")] for n in SCHEMAS)
+    spark.sql("drop database stayline_test cascade")
+
+
+def test_blocks_of_a_longer_limit(spark):
+    """A nine-day stay, blocks of ten days, ventilated on days seven and eight."""
+    stays = times(spark, s1=9 * 1440)
+    base = stays.select("stay_id")
+    vent = spark.createDataFrame([(1, 6 * 1440, 8 * 1440, 1)], "stay_id long, vent_offset_start long, vent_offset_end long, vent int")
+    for limit, last in ((5 * 1440, 30), (10 * 1440, 54)):
+        grid = rows(panel.blocks(base, stays, limit), "block", "minute_start", "minute_end")
+        assert grid[-1][0] == last
+        found = {b for (b,) in rows(panel.ventilation_blocks(vent, limit), "block")}
+        assert found & {b for b, *_ in grid} == {b for b, low, high in grid if 8 * 1440 >= low and 6 * 1440 < high}
+
+
+def test_clock_text_in_a_zone_with_a_gap(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        row = spark.sql("select timestamp_ntz'2024-03-10 02:30:00' as t").select(clock_text(F.col("t")))
+        assert row.first()[0] == "02:30"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_sources_of_the_base_are_scanned_once(spark, folder):
+    plan = QUERIES["exposed_only"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    for column in ("icd_code", "aki_stage", "dialysis_active", "antibiotic_time"):
+        scans = [line for line in plan.splitlines() if "Relation" in line and f"{column}#" in line]
+        assert len(scans) == 1, column
+
+
 def test_hot_stay_is_split(spark, tmp_path):
     """One stay holds half of all rows: the join splits it, and the result stays the same."""
     sink = Stages(spark, str(tmp_path))
