@@ -171,6 +171,28 @@ def placed(points: DataFrame, lengths: DataFrame) -> DataFrame:
     return points.join(lengths, "stay_id").withColumn("offset", offset_of("charttime"))
 
 
+def fluid_points(
+    outputevents: DataFrame, chartevents: DataFrame, urine_output: DataFrame, lengths: DataFrame
+) -> DataFrame:
+    """All charted urine, output and dialysis with their offsets, for both views.
+
+    ``hourly`` and ``daily`` tell which view counts a point; the two lists of output items differ.
+    """
+    hourly, daily = codes.HOURLY_OUTPUT_ITEMS, codes.DAILY_OUTPUT_ITEMS
+    value = signed(numeric(F.col("value")), F.col("itemid"), codes.IRRIGANT_IN_ITEM)
+    outputs = outputevents.filter(has_item(sorted({*hourly, *daily}))).select(
+        "stay_id",
+        "charttime",
+        F.lit("output").alias("kind"),
+        value.alias("value"),
+        has_item(hourly).alias("hourly"),
+        has_item(daily).alias("daily"),
+    )
+    others = urine_points(urine_output).unionByName(dialysis_points(chartevents))
+    others = others.withColumns({"hourly": F.lit(True), "daily": F.lit(True)})
+    return placed(outputs.unionByName(others), lengths).drop("intime_hr")
+
+
 def charted(points: DataFrame, lengths: DataFrame) -> DataFrame:
     """Points summed per stay and chart time."""
     return (
@@ -181,6 +203,10 @@ def charted(points: DataFrame, lengths: DataFrame) -> DataFrame:
 
 
 def void_intervals(urine_output: DataFrame, lengths: DataFrame) -> DataFrame:
+    return voids(placed(urine_points(urine_output), lengths))
+
+
+def voids(urine: DataFrame) -> DataFrame:
     """Each void as an interval from the void before it (or 0) to itself, with a rate.
 
     Several voids charted in one minute: the first ends the interval, the others have no
@@ -189,8 +215,7 @@ def void_intervals(urine_output: DataFrame, lengths: DataFrame) -> DataFrame:
     """
     order = F.struct(F.col("charttime"), F.col("value"))
     per_minute = (
-        placed(urine_points(urine_output), lengths)
-        .filter(F.col("offset").isNotNull())
+        urine.filter(F.col("offset").isNotNull())
         .groupBy("stay_id", "offset")
         .agg(
             F.min_by("value", order).alias("amount"),
@@ -267,6 +292,7 @@ def hourly_sums(
     urine_output: DataFrame,
     stays: DataFrame,
     totals: DataFrame | None = None,
+    points: DataFrame | None = None,
 ) -> DataFrame:
     """``stay_id, hr`` of the grid with a summed column per kind of contribution.
 
@@ -278,12 +304,11 @@ def hourly_sums(
     given = input_totals(inputevents, lengths) if totals is None else totals
     given = _given_by(given, ["intake", "blood"], HOUR, _last_hour(), "hr")
     bolus = F.col("kind") == "bolus"
-    points = output_points(outputevents, codes.HOURLY_OUTPUT_ITEMS).unionByName(
-        dialysis_points(chartevents)
-    )
-    voids = overlapped_buckets(
-        void_intervals(urine_output, lengths), "start_offset", "end_offset", HOUR, _last_hour(), "hr"
-    )
+    if points is None:
+        points = fluid_points(outputevents, chartevents, urine_output, lengths)
+    urine = F.col("kind") == "urine"
+    spans = voids(points.filter(urine))
+    spans = overlapped_buckets(spans, "start_offset", "end_offset", HOUR, _last_hour(), "hr")
     # a void lies in the last hour its interval overlaps
     charted_here = F.col("hr") == bucket_upto(F.col("end_offset"), HOUR)
     nothing = F.lit(None).cast("double")
@@ -295,9 +320,9 @@ def hourly_sums(
             F.when(bolus, _crystalloid()).otherwise(_hour_share(F.col("amount") * 60)),
             F.when(bolus, _colloid()),
         ),
-        (point_hours(placed(points, lengths)), F.col("kind"), F.col("value"), nothing),
+        (point_hours(points.filter(F.col("hourly") & ~urine)), F.col("kind"), F.col("value"), nothing),
         (
-            voids,
+            spans,
             F.lit("void"),
             _hour_share(F.lit(0.0)),
             F.when(charted_here, F.col("minute_amount")),
@@ -335,13 +360,14 @@ def hourly(
     urine_output: DataFrame,
     stays: DataFrame,
     totals: DataFrame | None = None,
+    points: DataFrame | None = None,
 ) -> DataFrame:
     """Hourly fluid table with running balances, in whole mL.
 
-    ``totals`` is ``input_totals`` if it is at hand already.
+    ``totals`` is ``input_totals``, ``points`` is ``fluid_points`` if they are at hand already.
     'intake', 'blood' and 'est_urine' are kept in sixtieths (amount x 60) up to here.
     """
-    sums = hourly_sums(inputevents, outputevents, chartevents, urine_output, stays, totals)
+    sums = hourly_sums(inputevents, outputevents, chartevents, urine_output, stays, totals, points)
     out = F.col("output") + F.col("dialysis")
     balance = F.col("intake") - (out + F.col("urine")) * 60
     estimated = F.col("intake") - out * 60 - F.col("est_urine")
@@ -391,6 +417,7 @@ def daily_sums(
     stays: DataFrame,
     totals: DataFrame | None = None,
     days: int = DAYS,
+    points: DataFrame | None = None,
 ) -> DataFrame:
     """``stay_id, day, kind, value, second``: one sum per stay, day and kind.
 
@@ -401,13 +428,10 @@ def daily_sums(
     given = input_totals(inputevents, lengths) if totals is None else totals
     given = _given_by(given, ["intake"], DAY, F.lit(days - 1), "day")
     kind = F.col("kind")
-    points = (
-        urine_points(urine_output)
-        .unionByName(output_points(outputevents, codes.DAILY_OUTPUT_ITEMS))
-        .unionByName(dialysis_points(chartevents))
-    )
+    if points is None:
+        points = fluid_points(outputevents, chartevents, urine_output, lengths)
     by_points = (
-        placed(points, lengths)
+        points.filter("daily")
         .withColumn("day", bucket_upto(F.col("offset"), DAY))
         .filter(F.col("day").between(0, days - 1))
         .select("stay_id", "day", "kind", "value", F.lit(None).cast("double").alias("second"))
@@ -437,13 +461,14 @@ def daily(
     stays: DataFrame,
     totals: DataFrame | None = None,
     days: int = DAYS,
+    points: DataFrame | None = None,
 ) -> DataFrame:
     """Daily fluid totals and balances side by side, one row per stay, in whole mL.
 
     A day's balance is shown only for stays that reached the day (the seventh day opens
     with the fourth, after 72 hours, as published).  The overall total is always shown.
     """
-    sums = daily_sums(inputevents, outputevents, chartevents, urine_output, stays, totals, days)
+    sums = daily_sums(inputevents, outputevents, chartevents, urine_output, stays, totals, days, points)
     sources = {
         "cristalloid_bolus": ("bolus", "value"),
         "colloid_bolus": ("bolus", "second"),

@@ -29,12 +29,19 @@ def stages(tables: Tables, sink: Sink) -> Tables:
         return {"vasopressor_hourly": hourly, "vasopressor": sink("vasopressor", pressor.daily(hourly))}
 
     def fluids() -> Tables:
-        totals = sink("input_totals", fluid.input_totals(given, with_length(times)))
+        lengths = with_length(times)
         inputs = fluid_inputs(tables)
+        _, outputs, charts, urine, _ = inputs
+        at_hand = side_by_side(
+            {
+                "totals": lambda: sink("input_totals", fluid.input_totals(given, lengths)),
+                "points": lambda: sink("fluid_points", fluid.fluid_points(outputs, charts, urine, lengths)),
+            }
+        )
         return side_by_side(
             {
-                "fluid_hourly": lambda: sink("fluid_hourly", fluid.hourly(*inputs, totals=totals)),
-                "fluid_balance": lambda: sink("fluid_balance", fluid.daily(*inputs, totals=totals)),
+                "fluid_hourly": lambda: sink("fluid_hourly", fluid.hourly(*inputs, **at_hand)),
+                "fluid_balance": lambda: sink("fluid_balance", fluid.daily(*inputs, **at_hand)),
             }
         )
 
