@@ -9,6 +9,7 @@ import zipfile
 from functools import lru_cache
 from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,14 +18,14 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 
 @lru_cache(maxsize=4)
-def _ship(application: str) -> None:
+def _ship(context: SparkContext) -> None:
     """Send this package's sources to the executors, whose Python need not know the repository."""
     package = Path(__file__).resolve().parents[1]
     path = os.path.join(tempfile.mkdtemp(prefix="llm-"), f"{package.name}.zip")
     with zipfile.ZipFile(path, "w") as out:
         for source in sorted(package.rglob("*.py")):
             out.write(source, source.relative_to(package.parent))
-    SparkSession.active().sparkContext.addPyFile(path)
+    context.addPyFile(path)
 
 
 @lru_cache(maxsize=4)
@@ -56,7 +57,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> SparkSession:
     """Whole texts go to Python in batches bounded by rows and bytes; executors get the package."""
-    _ship(spark.sparkContext.applicationId)
+    _ship(spark.sparkContext)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
     return spark

@@ -145,6 +145,6 @@ def judged(docs: DataFrame) -> DataFrame:
     columns = [c for c in docs.columns if c not in ADDED]
     plain = [f"c{i}" for i in range(len(columns))]
     own = [F.col(f"`{c}`").alias(p) for c, p in zip(columns, plain, strict=True)]
-    rows = docs.select(*own, _verdict(F.coalesce("text", F.lit(""))).alias("verdict"))
-    back = [F.col(p).alias(c) for c, p in zip(columns, plain, strict=True)]
-    return rows.select(*back, *[F.col("verdict")[c].alias(c) for c in ADDED])
+    # a generator: no filter is moved below it, so a text is judged once
+    rows = docs.select(*own, F.inline(F.array(_verdict(F.coalesce("text", F.lit(""))))))
+    return rows.select(*[F.col(p).alias(c) for c, p in zip(columns, plain, strict=True)], *ADDED)
