@@ -1,8 +1,8 @@
 """Quality rules, lines first: bad lines go, then texts that lose too much of themselves.
 
 A line fails if it is short and lacks closing punctuation, if it shouts or is full of symbols
-(punctuation), if separators take up much of it (navigation), or if it holds a stock phrase
-(boilerplate).  A text is rejected if the base rules fail (too few words, or too many inside repeated runs
+(punctuation), if separators and stock phrases together come to more than ``MAX_SEPARATORS_PERCENT`` of
+its words (navigation), or if it holds a stock phrase and few other words (boilerplate).  A text is rejected if the base rules fail (too few words, or too many inside repeated runs
 of three words), or if the lines that stay hold too few of its words.
 
 Built-in expressions only, each text in its own row, no shuffle.  Repeated runs are found by sorting a
@@ -16,6 +16,7 @@ gives an empty one.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -29,7 +30,8 @@ MAX_REPEATED_PERCENT = 50
 MIN_KEPT_PERCENT = 60
 #: A line of fewer words must end in closing punctuation.
 SHORT_LINE = 8
-#: In a line, at most so many symbols, repeated exclamation or question marks, or separators to a hundred words.
+#: In a line, at most so many symbols, repeated exclamation or question marks, or separators and
+#: stock phrases, to a hundred words.
 MAX_SYMBOLS_PERCENT = 20
 MAX_SHOUTS_PERCENT = 20
 MAX_SEPARATORS_PERCENT = 20
@@ -38,11 +40,39 @@ WORD = r"[^\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 CLOSED = r"""[.!?:;…]["'”’»)\]]*[\x20\x09-\x0D]*\z"""
 SHOUT = r"[!?][!?]+"
-SEPARATOR = r"(^|[\x20\x09-\x0D])(\||>|>>|»|•|·|/|::)(\z|[\x20\x09-\x0D])"
-BOILERPLATE = (
-    r"(?i)(all rights reserved|cookie policy|privacy policy|terms of (use|service)|click here|read more"
-    r"|sign (in|up)|log ?in|subscribe (now|to)|enable javascript|skip to (main )?content|share (this|on))"
+#: Stock phrases, in ASCII letters of either case.
+PHRASES = re.sub(
+    "[a-z]",
+    lambda m: f"[{m[0].upper()}{m[0]}]",
+    "(?:all rights reserved|cookie policy|privacy policy|terms of (?:use|service)|click here|read more"
+    "|sign (?:in|up)|log ?in|subscribe (?:now|to)|enable javascript|skip to (?:main )?content|share (?:this|on))",
 )
+#: What but a space may stand next to a phrase: ends of words, spelled out, as Java and DuckDB differ on \b beside letters like é.
+EDGE = (
+    r"\x00-\x08\x0E-\x1F!-/:-@\[-^`{-\x{A9}\x{AB}-\x{B4}\x{B6}-\x{B9}\x{BB}-\x{BF}\x{D7}\x{F7}\x{2000}-\x{2BFF}"
+    r"\x{3000}-\x{3004}\x{3008}-\x{303F}\x{FE0F}\x{FF00}-\x{FF0F}\x{FF1A}-\x{FF20}\x{1F000}-\x{1FAFF}"
+)
+#: Counted as separators: marks between the items of a menu, and stock phrases (of two with one space between, the first).
+SEPARATOR = (
+    r"(^|[\x20\x09-\x0D])(\||>|>>|»|•|·|/|::)(\z|[\x20\x09-\x0D])"
+    rf"|(?:^|[\x20\x09-\x0D{EDGE}]){PHRASES}(?:\z|[\x20\x09-\x0D{EDGE}])"
+)
+#: A line of a stock phrase and at most so many other words is boilerplate.
+MAX_OTHER_WORDS = 10
+
+
+def _short_with_phrase(others: int) -> str:
+    """A line that holds a stock phrase and at most ``others`` words besides."""
+    space, inner = r"[\x20\x09-\x0D]", rf"{WORD}*"
+    phrase = rf"(?:{inner}[{EDGE}])?{PHRASES}(?:[{EDGE}]{inner})?"
+    out = ""
+    for after in range(others + 1):  # words after the phrase; the others may stand before it
+        here = rf"{phrase}(?:{space}+{WORD}+){{0,{after}}}{space}*\z"
+        out = rf"(?:{here}|{WORD}+{space}+{out})" if after else here
+    return rf"\A{space}*{out}"
+
+
+BOILERPLATE = _short_with_phrase(MAX_OTHER_WORDS)
 ADDED = [
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_kept_words", "kept",
     "clean_text",

@@ -1,8 +1,11 @@
 import re
 
+import duckdb
+import pandas as pd
 import pytest
 
 from stayline.llm import quality_rules as q
+from stayline.llm.queries import OP10_SQL
 
 def sentence(i):
     return " ".join(f"{w}{i}" for w in "the quick brown fox jumps over some lazy dogs".split()) + ". "
@@ -60,3 +63,34 @@ def test_documents_that_lose_too_much_go(spark):
     assert [(r.doc_id, r.kept) for r in q.judged(docs).filter("kept").collect()] == [(1, True)]
     plan = q.judged(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Pandas" not in plan
+
+
+FILLER = " ".join(f"plain{i}" for i in range(298))
+PHRASED = [
+    ("We design in the open and spread more aoneshare onealy.", True), ("The market share this year grew as much as it did in all the years before.", True),
+    ("désign in, signé in, sign inó, read morе.", True), (FILLER + " read more", True), ("Read more " + FILLER, True),
+    (FILLER[: FILLER.index("plain11")] + " read more.", True), (FILLER[: FILLER.index("plain10")] + "read more.", False),
+    ("\t(Read more…)", False), ("“Click here”\x0b for it.", False), ("one two three/sign in/ four.", False), ("Skip to main content.", False),
+    ("Log in, sign up, read more. " * 30, False), ("sign in sign up " * 30, False), ("x" * 5000 + " read more " + "y" * 5000, False),
+    (("read more " + "w " * 12) * 400, True), ("read\xa0more is no phrase.", True), ("Share this👉 now.", False),
+]
+
+
+def by_sql(texts):
+    """What OP10_SQL keeps of ``texts``, by their place."""
+    documents = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    connection = duckdb.connect()
+    connection.register("documents", documents)
+    return dict(connection.sql(f"SELECT doc_id, kept FROM ({OP10_SQL})").fetchall())
+
+
+def test_phrases_fail_lines_that_they_make_up(spark):
+    rows = [(i, prose(10) + "\n" + line) for i, (line, _) in enumerate(PHRASED)]
+    found = {r.doc_id: r.clean_text for r in q.judged(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: c == rows[i][1] for i, c in found.items()} == {i: stays for i, (_, stays) in enumerate(PHRASED)}
+    # alone with 60 words that stay or go, the line decides; the SQL must say the same
+    texts = [prose(8) + "\n" + "\n".join(f"{line} {i}." if len(line) < 99 else line for i in range(40)) for line, _ in PHRASED]
+    texts.append(FILLER + " read more")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id: r.kept for r in q.judged(docs).collect()}
+    assert kept == by_sql(texts) and kept[len(PHRASED)]
