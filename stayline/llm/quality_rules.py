@@ -38,7 +38,19 @@ MAX_SEPARATORS_PERCENT = 20
 
 WORD = r"[^\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
-CLOSED = r"""[.!?:;…]["'”’»)\]]*[\x20\x09-\x0D]*\z"""
+#: Closing marks of Latin and other scripts: Greek, Armenian, Hebrew, Arabic, Syriac, Indic, Tibetan, Burmese, Georgian,
+#: Ethiopic, Khmer, Mongolian, and ideographic or full-width ones; then quotes and brackets that may follow them.
+ENDS = (
+    r".!?:;…\x{37E}\x{387}\x{55C}\x{55E}\x{589}\x{5C3}\x{61B}\x{61D}-\x{61F}\x{6D4}\x{700}-\x{702}\x{964}\x{965}"
+    r"\x{DF4}\x{E5A}\x{E5B}\x{F0D}-\x{F11}\x{104A}\x{104B}\x{10FB}\x{1362}-\x{1368}\x{17D4}-\x{17D6}\x{1803}\x{1809}"
+    r"\x{203C}\x{2047}-\x{2049}\x{3002}\x{FE52}\x{FE54}-\x{FE57}\x{FF01}\x{FF0E}\x{FF1A}\x{FF1B}\x{FF1F}\x{FF61}"
+)
+QUOTES = (
+    r"""\"'”’»)\]"""
+    r"\x{3009}\x{300B}\x{300D}\x{300F}\x{3011}\x{3015}\x{3017}\x{3019}\x{301B}\x{301E}\x{301F}"
+    r"\x{FE42}\x{FE44}\x{FF02}\x{FF07}\x{FF09}\x{FF3D}\x{FF5D}\x{FF63}"
+)
+CLOSED = rf"[{ENDS}][{QUOTES}]*[\x20\x09-\x0D]*\z"
 SHOUT = r"[!?][!?]+"
 #: Stock phrases, in ASCII letters of either case.
 PHRASES = re.sub(

@@ -94,3 +94,12 @@ def test_phrases_fail_lines_that_they_make_up(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = {r.doc_id: r.kept for r in q.judged(docs).collect()}
     assert kept == by_sql(texts) and kept[len(PHRASED)]
+
+
+@pytest.mark.parametrize("end", ["。", "！", "？", "。」", "！』）", "｡", "؟", "۔", "।", "።", "។", "။", "։", "…", ".\"", "？  "])
+def test_lines_of_other_scripts_are_closed_by_their_own_marks(spark, end):
+    lines = [f"这是第{i}行文字，没有空格" for i in range(60)]
+    texts = ["\n".join(x + end for x in lines), "\n".join(x + "，" for x in lines), "\n".join(lines)]
+    found = {r.doc_id: r for r in q.judged(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert {i: r.kept for i, r in found.items()} == by_sql(texts) == {0: True, 1: False, 2: False}
+    assert found[0].clean_text == texts[0]
