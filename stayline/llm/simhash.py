@@ -23,7 +23,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
@@ -57,16 +57,23 @@ def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp."""
+def fingerprints(docs: DataFrame, hashed: bool = False) -> DataFrame:
+    """doc_id, fp; _text_hash, 64 bits of the text as it is, if ``hashed``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(text) for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            columns = [batch.column(0), pa.array(fps, pa.int64()), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    names = ["doc_id", "fp", "_text_hash"] if hashed else ["doc_id", "fp"]
+    more = [_text_hash()] if hashed else []
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), *more)
+    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.col("text"), F.col("text").isNull()).alias("_text_hash")
 
 
 def _variants(rows: DataFrame, width: int) -> DataFrame:
@@ -124,22 +131,30 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return pairs.distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest id reachable)."""
-    fps = staged(fingerprints(docs), "fingerprints")
+def _members(docs: DataFrame, hashed: bool = False) -> DataFrame:
+    """The rows of ``fingerprints`` with root (the component's smallest fingerprint) and component_id."""
+    fps = staged(fingerprints(docs, hashed), "fingerprints")
     nodes = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     roots = components(links(nodes.select("fp"))).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     nodes = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
-    nodes = nodes.select("fp", "root").join(names, "root").select("fp", "component_id")
-    return fps.join(nodes, "fp").select(
+    nodes = nodes.select("fp", "root").join(names, "root").select("fp", "root", "component_id")
+    return fps.join(nodes, "fp")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest id reachable)."""
+    return _members(docs).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each component, that with the smallest id; rows without an id have no order and stay."""
-    found = near_duplicates(docs)
-    first = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id IS NULL")).select(docs.columns)
+    """One row of each component, that with the smallest id, then the smallest text hash; rows without an id
+    have no order and stay.
+    """
+    named = _members(docs, hashed=True).filter(F.col("doc_id") == F.col("component_id"))
+    first = named.groupBy("root").agg(F.min("doc_id").alias("doc_id"), F.min("_text_hash").alias("_text_hash"))
+    rows = docs.withColumn("_text_hash", _text_hash()).join(first, ["doc_id", "_text_hash"], "left_semi")
+    rows = rows.dropDuplicates(["doc_id", "_text_hash"]).select(docs.columns)
+    return rows.unionByName(docs.filter("doc_id IS NULL"))

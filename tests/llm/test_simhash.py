@@ -69,6 +69,19 @@ def test_components_of_edge_rows(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_one_row_of_each_component_where_ids_repeat(spark):
+    small_batches(spark)
+    a, b = (" ".join(f"{w}{i}" for i in range(80)) for w in ("one", "two"))
+    rows = [(1, a), (7, a), (7, b)]
+    for given in (rows, rows[::-1], [*rows, (7, b), (1, a), (9, b + " ")]):
+        docs = spark.createDataFrame(given, "doc_id long, text string").coalesce(1)
+        assert sorted(map(tuple, simhash.keep_first(docs).collect())) == [(1, a), (7, b)]
+    # one id for two roots, and for two texts of one root: one row of each root
+    spaced = [(7, a), (7, a + " "), (7, b), (None, a), (3, None), (3, "")]
+    kept = simhash.keep_first(spark.createDataFrame(spaced, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), (r.text or "").strip()) for r in kept) == [("3", ""), ("7", a), ("7", b), ("None", a)]
+
+
 def test_query_against_brute_force(spark, folder):
     from stayline.llm.queries import op2_simhash
 
