@@ -2,14 +2,16 @@
 
 Such a vocabulary's tokens never reach over white space, nor from letters into punctuation, and case makes
 no difference, so a text's ids are those of its white-space-separated parts one after another, and those
-of a part are its letters' and its closing marks'.  Every worker keeps the ids of the parts it has seen; new
+of a part are its letters' and its closing marks'.  The vocabulary's added tokens, such as '<|endoftext|>', are
+one id each where a text spells them exactly, as by the library's default, and cut the text.  Every worker keeps the ids of the parts it has seen; new
 parts go to the library together, as one text.
 """
 
 from __future__ import annotations
 
 import os
-from functools import lru_cache
+import re
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -31,13 +33,26 @@ class WhiteSpaceEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.path = path
         self.library = Tokenizer.from_file(path)
+        added = {t.content.encode(): i for i, t in self.library.get_added_tokens_decoder().items()}
+        self.added = {token: np.array([i], "<u4").tobytes() for token, i in added.items()}
+        longest_first = sorted(map(re.escape, self.added), key=len, reverse=True)
+        self.cuts = re.compile(b"(" + b"|".join(longest_first) + b")")
+        # parts come without added tokens, but lower-casing may spell one: to the library that is plain text
         self.library.encode_special_tokens = True
         self.ids: dict[bytes, bytes] = {}
 
+    @cached_property
+    def default(self):
+        """The library as it comes."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def whole(self, text: str) -> list[int]:
         """The library's own ids of a whole text."""
-        return self.library.encode(text, add_special_tokens=False).ids
+        return self.default.encode(text, add_special_tokens=False).ids
 
     def _ask(self, parts: list[bytes]) -> None:
         """Have the library encode new parts."""
@@ -67,6 +82,13 @@ class WhiteSpaceEncoder:
 
     def encode(self, text: bytes | None) -> bytes:
         """Ids of one text as little-endian unsigned 32-bit integers; none for null."""
+        if text and any(token in text for token in self.added):
+            pieces = self.cuts.split(text)  # every second one is an added token
+            return b"".join(self.added[p] if i % 2 else self._encode(p) for i, p in enumerate(pieces))
+        return self._encode(text)
+
+    def _encode(self, text: bytes | None) -> bytes:
+        """Ids of a text, or a piece of one, without added tokens."""
         parts = text.translate(LOWER).split() if text else []
         known = self.ids
         new = {p for p in parts if p not in known}

@@ -5,6 +5,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow.orc as orc
 import pytest
+from tokenizers import Tokenizer
 
 from stayline.llm import token_orc
 from stayline.llm.common import small_batches
@@ -26,6 +27,16 @@ def test_parts_make_the_whole(library):
         assert np.frombuffer(own.encode(text.encode()), "<u4").tolist() == library.whole(text), text
 
 
+def test_added_tokens_as_by_the_library_alone():
+    plain, own, rng = Tokenizer.from_file(PATH), encoder(PATH), random.Random(1)
+    assert np.frombuffer(own.encode(b"end <|endoftext|> next"), "<u4").tolist() == [806, 49407, 1131]
+    pieces = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|", "<|", "|>", "É", "́", "end", "it's", "12", "..", " ", "\n", "ﬁ"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 12)))
+        wanted = plain.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(own.encode(text.encode()), "<u4").tolist() == own.whole(text) == wanted, text
+
+
 def expected(rows, library):
     start, out = 0, []
     for doc_id, text in rows:
