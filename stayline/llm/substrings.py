@@ -8,7 +8,8 @@
 3. The starts found reach the documents by a join, and the covered words go.
 
 The sketch's cells grow with the text up to ``MAX_CELLS`` per row, so that what is broadcast is at most
-``ROWS`` x ``MAX_CELLS`` bits (64 MB); beyond, more windows are grouped exactly than need be, with the same result.
+``ROWS`` x ``MAX_CELLS`` bits (64 MB).  Beyond, steps 1 and 2 are run once for each of several ranges of the windows'
+hashes, so many that a cell gets half a window on average: the filter stays as sharp, every range reads the text anew.
 
 Defined cases: a null, empty or short text loses nothing; a null id counts as the smallest; rows with one
 id are ordered by their texts' hashes, and equal rows are one document (both lose the same); other
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
+from functools import reduce
 from itertools import compress
 
 import numpy as np
@@ -29,6 +31,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 WINDOW = 20
 ROWS = 2
 MAX_CELLS = 1 << 28
@@ -115,6 +119,13 @@ def _windows(texts: list[bytes | None], known: WordHashes, size: int) -> Iterato
         yield np.array(rows)[of], at + np.array(places)[of], _rolled(low, size), _rolled(high, size), true
 
 
+def _in_range(low: np.ndarray, part: int, ranges: int) -> np.ndarray | bool:
+    """Which windows are in range ``part`` of ``ranges``, by the upper bits of a hash, which choose no cell."""
+    if ranges == 1:
+        return True
+    return (low >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32) == np.uint64(part)
+
+
 def _gaps(values: np.ndarray) -> bytes:
     """Ascending integers from 0 as bytes: 255 says that a gap goes on."""
     more, rest = np.divmod(np.diff(values.astype(np.int64), prepend=-1), 255)
@@ -137,8 +148,8 @@ PARTS = "block long, once binary, more binary"
 PART_KINDS = [pa.int64(), pa.binary(), pa.binary()]
 
 
-def _sketches(docs: DataFrame, size: int, cells: int) -> DataFrame:
-    """Rows of ``PARTS``: the cells of a block that one part of a task has hit once, and more often."""
+def _sketches(docs: DataFrame, size: int, cells: int, part: int = 0, ranges: int = 1) -> DataFrame:
+    """Rows of ``PARTS``: the cells of a block that one part of a task has hit once, and more often, in one range."""
 
     def flush(hashes: list) -> Iterator[pa.RecordBatch]:
         for row in range(ROWS):
@@ -160,8 +171,9 @@ def _sketches(docs: DataFrame, size: int, cells: int) -> DataFrame:
         known, hashes, n, mask = WordHashes(), [], 0, np.uint64(cells - 1)
         for batch in batches:
             for _, _, low, high, true in _windows(batch.column(0).to_pylist(), known, size):
+                true &= _in_range(low, part, ranges)
                 hashes.append([(h[true] & mask).astype(np.uint32) for h in (low, high)])
-                n += len(low)
+                n += len(hashes[-1][0])
                 if n >= BLOCK_WINDOWS:
                     yield from flush(hashes)
                     hashes, n = [], 0
@@ -198,11 +210,11 @@ def _merged(parts: DataFrame) -> DataFrame:
     return parts.repartition("block").sortWithinPartitions("block").mapInArrow(run, PARTS)
 
 
-def _repeated_cells(docs: DataFrame, size: int, cells: int) -> np.ndarray:
+def _repeated_cells(docs: DataFrame, size: int, cells: int, part: int = 0, ranges: int = 1) -> np.ndarray:
     """A bit per cell: hit more than once.  ``ROWS`` x ``cells`` bits, at most 64 MB, come to the driver."""
     bits = np.zeros((ROWS, max(cells, BLOCK) // 8), np.uint8)
     per_row = cells // BLOCK or 1
-    for row in _merged(_sketches(docs, size, cells)).select("block", "more").toLocalIterator():
+    for row in _merged(_sketches(docs, size, cells, part, ranges)).select("block", "more").toLocalIterator():
         flags = np.zeros(BLOCK, bool)
         flags[_ungapped(row["more"])] = True
         at = row["block"] % per_row * (BLOCK // 8)
@@ -290,8 +302,12 @@ def _in_chunks(later: Entries, buckets: int) -> Iterator[tuple[int, bytes]]:
     return _dealt(later, (mixed % np.uint64(buckets)).astype(np.int64), buckets, FOUND)
 
 
-def _candidates(docs: DataFrame, size: int, cells: int, buckets: int, bits) -> DataFrame:
-    """Rows of ``DEALT``: with a chunk, starts already decided; without, first occurrences, by bucket of their hash."""
+def _candidates(
+    docs: DataFrame, size: int, cells: int, buckets: int, bits, part: int = 0, ranges: int = 1
+) -> DataFrame:
+    """Rows of ``DEALT`` of one range: with a chunk, starts already decided; without, first occurrences, by bucket of
+    their hash.
+    """
     kinds, names = [pa.int32(), pa.int32(), pa.binary()], ["bucket", "chunk", "packed"]
 
     def flush(found: list[Entries]) -> pa.RecordBatch:
@@ -311,6 +327,7 @@ def _candidates(docs: DataFrame, size: int, cells: int, buckets: int, bits) -> D
         for batch in batches:
             k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for row, at, low, high, hits in _windows(batch.column(2).to_pylist(), known, size):
+                hits &= _in_range(low, part, ranges)
                 for bitmap, hashed in zip(repeated, (low, high), strict=True):
                     cell = hashed & mask
                     byte = bitmap[(cell >> np.uint64(3)).astype(np.int64)]
@@ -318,8 +335,8 @@ def _candidates(docs: DataFrame, size: int, cells: int, buckets: int, bits) -> D
                 hits = np.flatnonzero(hits)
                 if len(hits):
                     row = row[hits]
-                    part = [low[hits], (high[hits] >> np.uint64(32)), k1[row], k2[row], at[hits]]
-                    found.append({n: a.astype(k) for (n, k), a in zip(ENTRY.items(), part, strict=True)})
+                    entry = [low[hits], (high[hits] >> np.uint64(32)), k1[row], k2[row], at[hits]]
+                    found.append({n: a.astype(k) for (n, k), a in zip(ENTRY.items(), entry, strict=True)})
                     n += len(hits)
                     if n >= BLOCK_WINDOWS // 2:
                         yield flush(found)
@@ -331,6 +348,19 @@ def _candidates(docs: DataFrame, size: int, cells: int, buckets: int, bits) -> D
     return rows.mapInArrow(run, DEALT)
 
 
+def _all_candidates(docs: DataFrame, size: int, cells: int, buckets: int, windows: int) -> DataFrame:
+    """``_candidates`` of every range; one sketch at a time is held and broadcast."""
+    ranges, found = -(-2 * windows // cells), []
+    for part in range(ranges):
+        bits = docs.sparkSession.sparkContext.broadcast(_repeated_cells(docs, size, cells, part, ranges))
+        rows = _candidates(docs, size, cells, buckets, bits, part, ranges)
+        if ranges > 1:
+            rows = staged(rows, "candidates")
+            bits.destroy()
+        found.append(rows)
+    return reduce(DataFrame.union, found)
+
+
 def _starts(candidates: DataFrame, buckets: int) -> DataFrame:
     """Rows of ``STARTS``, one per document that loses words."""
 
@@ -358,13 +388,11 @@ def _starts(candidates: DataFrame, buckets: int) -> DataFrame:
 
 def deduplicated(docs: DataFrame, size: int = WINDOW, max_cells: int = MAX_CELLS) -> DataFrame:
     """``docs`` with n_words, n_removed and kept (the words left, joined by one space)."""
-    spark = docs.sparkSession
     length = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     windows = length // 6 + 1
     cells = min(max_cells, max(1 << 16, 1 << int(2 * windows - 1).bit_length()))
-    bits = spark.sparkContext.broadcast(_repeated_cells(docs, size, cells))
     buckets = windows // BLOCK_WINDOWS + 16
-    starts = _starts(_candidates(docs, size, cells, buckets, bits), buckets)
+    starts = _starts(_all_candidates(docs, size, cells, buckets, windows), buckets)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -53,6 +53,20 @@ def test_against_brute_force(spark, monkeypatch):
         assert [tuple(r)[1:] for r in found] == plain(rows, 5)
 
 
+def test_filter_stays_sharp_beyond_the_cells(spark):
+    small_batches(spark)
+    rng, common = random.Random(8), " ".join(f"again{i}" for i in range(12))
+    rows = [(i, " ".join(f"{rng.getrandbits(32):08x}" for _ in range(60)) + (f" {common}" if i % 3 else "")) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    windows, cells = sum(len(t) for _, t in rows) // 6 + 1, 1 << 10
+    found = substrings._all_candidates(df, 5, cells, 1, windows).filter("chunk IS NULL").collect()
+    entries = [e for r in found for e in zip(*(substrings._unpacked(r.packed)[n].tolist() for n in ("k1", "pos")), strict=True)]
+    assert len(set(entries)) == len(entries)
+    alone = sum(not (i % 3 and at >= 60) for i, at in entries)  # let through without need
+    assert alone < 0.35 * sum(60 if i % 3 else 56 for i, _ in rows)
+    assert sorted(map(tuple, substrings.removed(df, 5, cells).select("n_words", "n_removed", "kept").collect())) == sorted(plain(rows, 5))
+
+
 def test_edge_rows(spark):
     small_batches(spark)
     text = " ".join(f"v{i}" for i in range(30))
