@@ -8,11 +8,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, nearest, packing, quality_model, quality_rules, sharding, simhash, substrings, token_orc, warc
+from . import (
+    alignment,
+    byte_bpe,
+    conversations,
+    nearest,
+    ngram_lm,
+    packing,
+    quality_model,
+    quality_rules,
+    sharding,
+    simhash,
+    substrings,
+    token_orc,
+    warc,
+)
 from .common import scratch, staged, table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 END_ID = 1
 SEQUENCE = 4096
 NEIGHBOURS = 20
@@ -87,6 +103,30 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text", "n_kept_words", "clean_text")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.aligned(table(spark, sf_dir, "documents"), BYTE_VOCABULARY, PIECES, digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
+def op12_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doc_id = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    return ngram_lm.scores(table(spark, sf_dir, "documents"), F.crc32(doc_id.cast("binary")) % 7 == 2)
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    judged, lines = conversations.repair(conversations.damaged(rows))
+    found = judged.join(conversations.digests(lines), "key", "left")
+    every = rows.select("conv_id", F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")).alias("key")).distinct()
+    columns = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return every.join(found, "key", "left").select(
+        "conv_id",
+        *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in columns),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_orc": op1_token_orc,
     "op2_simhash": op2_simhash,
@@ -98,6 +138,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
+    "op11_alignment": op11_alignment,
+    "op12_ngram_lm": op12_ngram_lm,
+    "op13_conversations": op13_conversations,
 }
 
 #: Every word, window and line of the texts, by unnesting; the patterns are those of quality_rules.
