@@ -36,7 +36,7 @@ from .common import staged
 
 ORDER = 3
 #: Pseudo-counts of the shorter history, by the length of the longer one.
-PRIORS = {1: 40.0, 2: 4.0}
+PRIORS = {1: 1000.0, 2: 4.0}
 CHUNK = 500_000
 BUCKET = 2_000_000
 #: Distinct words a worker remembers the hashes of.
@@ -164,36 +164,23 @@ def _counts(data: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data), np.uint32).astype(np.int64)
 
 
-#: A chunk's row (order 0), or its n-grams of one order and bucket; ``data`` are hashes, ``more`` training counts.
-PARTS = "order int, bucket int, chunk long, data binary, more binary, doc_ids array<long>, held array<boolean>, lengths array<long>"
-KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64())]
-PART_NAMES = [c.split()[0] for c in PARTS.split(", ")]
+CHUNKS = "chunk long, words binary, text binary, doc_ids array<long>, held array<boolean>, lengths array<long>"
+CHUNK_KINDS = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64())]
 
 
-def _edges(buckets: int) -> np.ndarray:
-    """The least hash of every bucket but the first."""
-    return np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
+def _batch(schema: str, kinds: list[pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
+    names = [c.split()[0] for c in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
-def _parts(docs: DataFrame, held: Column, buckets: int, chunk: int) -> DataFrame:
-    """Rows of ``PARTS``."""
-    edges = _edges(buckets)
+def _chunks(docs: DataFrame, held: Column, chunk: int) -> DataFrame:
+    """Rows of ``CHUNKS``: the hashes of the chunk's words, its texts as places among them, the texts' rows."""
 
     def flush(number: int, ids: list, outs: list, hashes: list) -> pa.RecordBatch:
-        lengths = np.array([len(h) for h in hashes])
-        grams = Grams(np.concatenate(hashes), lengths)
-        chosen = np.repeat(~np.array(outs), lengths)
-        words = grams.keys[0]
-        rows = [(0, None, number, _packed(words), _packed(grams.at[0].astype(np.uint32)), ids, outs, lengths.tolist())]
-        for k, (keys, counts) in enumerate(zip(grams.keys, grams.counts(chosen), strict=True)):
-            cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
-            for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                if i < j:
-                    steps = np.diff(keys[i:j], prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
-                    n = counts[i:j].astype(np.uint32)
-                    rows.append((k + 1, b, number, _packed(steps), _packed(n), None, None, None))
-        columns = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, KINDS, strict=True)], PART_NAMES)
+        words, text = np.unique(np.concatenate(hashes), return_inverse=True)
+        row = (number, _packed(words), _packed(text.astype(np.uint32)), ids, outs, [len(h) for h in hashes])
+        return _batch(CHUNKS, CHUNK_KINDS, [row])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, n, number = WordHashes(), 0, TaskContext.get().partitionId() << 32
@@ -211,7 +198,42 @@ def _parts(docs: DataFrame, held: Column, buckets: int, chunk: int) -> DataFrame
             yield flush(number, ids, outs, hashes)
 
     rows = docs.select(F.col("doc_id").cast("long"), held.alias("held"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, PARTS)
+    return rows.mapInArrow(run, CHUNKS)
+
+
+def _texts(words: bytes, text: bytes) -> np.ndarray:
+    """A chunk's texts as hashes."""
+    return np.frombuffer(zstandard.decompress(words), np.uint64)[np.frombuffer(zstandard.decompress(text), np.uint32)]
+
+
+#: A chunk's n-grams of one order and bucket.
+PARTS = "order int, bucket int, chunk long, hashes binary, counts binary"
+PART_KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+
+
+def _edges(buckets: int) -> np.ndarray:
+    """The least hash of every bucket but the first."""
+    return np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
+
+
+def _parts(chunks: DataFrame, buckets: int) -> DataFrame:
+    """Rows of ``PARTS``."""
+    edges = _edges(buckets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, words, text, outs, lengths in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                grams, rows = Grams(_texts(words, text), np.array(lengths)), []
+                chosen = np.repeat(~np.array(outs), lengths)
+                for k, (keys, counts) in enumerate(zip(grams.keys, grams.counts(chosen), strict=True)):
+                    cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+                    for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                        if i < j:  # steps from hash to hash, byte by byte: the high bytes are mostly 0
+                            steps = np.diff(keys[i:j], prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+                            rows.append((k + 1, b, number, _packed(steps), _packed(counts[i:j].astype(np.uint32))))
+                yield _batch(PARTS, PART_KINDS, rows)
+
+    return chunks.select("chunk", "words", "text", "held", "lengths").mapInArrow(run, PARTS)
 
 
 ANSWERS = "order int, bucket int, chunk long, counts binary, known long"
@@ -222,9 +244,9 @@ def _answers(parts: DataFrame) -> DataFrame:
 
     def add(table: pa.Table) -> pa.Table:
         order, bucket = table.column("order")[0].as_py(), table.column("bucket")[0].as_py()
-        keys = [np.frombuffer(zstandard.decompress(d), np.uint8).reshape(8, -1).T for d in table.column("data").to_pylist()]
+        keys = [np.frombuffer(zstandard.decompress(d), np.uint8).reshape(8, -1).T for d in table.column("hashes").to_pylist()]
         keys = [np.cumsum(np.ascontiguousarray(k).view("<u8").ravel(), dtype=np.uint64) for k in keys]
-        counts = np.concatenate([_counts(d) for d in table.column("more").to_pylist()])
+        counts = np.concatenate([_counts(d) for d in table.column("counts").to_pylist()])
         distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.zeros(len(distinct), np.int64)
         np.add.at(total, inverse, counts)
@@ -238,8 +260,7 @@ def _answers(parts: DataFrame) -> DataFrame:
         names = ["order", "bucket", "chunk", "counts", "known"]
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
-    grams = parts.filter("order > 0").select("order", "bucket", "chunk", "data", "more")
-    return grams.groupBy("order", "bucket").applyInArrow(add, ANSWERS)
+    return parts.groupBy("order", "bucket").applyInArrow(add, ANSWERS)
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -248,9 +269,8 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def scores(docs: DataFrame, held: Column, chunk: int = CHUNK, bucket: int = BUCKET) -> DataFrame:
     """``SCORES`` of every row of ``docs`` (doc_id, text), by a model of the rows for which ``held`` is false."""
     length, rows = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
-    parts = staged(_parts(docs, held, (length // 6 + 2 * rows) // bucket + 8, chunk), "parts")
-    answers = staged(_answers(parts), "answers")
-    chunks = parts.filter("order = 0").select("chunk", "data", "more", "doc_ids", "held", "lengths")
+    chunks = staged(_chunks(docs, held, chunk), "chunks")
+    answers = staged(_answers(_parts(chunks, (length // 6 + 2 * rows) // bucket + 8)), "answers")
     each = F.arrays_zip("held", "lengths")
     trained = F.aggregate(each, F.lit(0).cast("long"), lambda n, x: n + F.when(x["held"], 0).otherwise(x["lengths"] - 1))
     n = chunks.agg(F.coalesce(F.sum(trained), F.lit(0))).first()[0]
@@ -258,10 +278,9 @@ def scores(docs: DataFrame, held: Column, chunk: int = CHUNK, bucket: int = BUCK
 
     def walk(own: pa.Table, found: pa.Table) -> pa.Table:
         row = own.to_pylist()[0]
-        words = np.frombuffer(zstandard.decompress(row["data"]), np.uint64)
-        text = np.frombuffer(zstandard.decompress(row["more"]), np.uint32)
         lengths = np.array(row["lengths"])
-        grams = Grams(words[text], lengths)
+        grams = Grams(_texts(row["words"], row["text"]), lengths)
+        text = grams.at[0]
         found = found.sort_by([("order", "ascending"), ("bucket", "ascending")])
         counts: list[list] = [[] for _ in range(ORDER)]
         for k, data in zip(found.column("order").to_pylist(), found.column("counts").to_pylist(), strict=True):
