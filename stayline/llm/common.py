@@ -55,6 +55,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def staged_by(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``staged`` as a table bucketed by ``key``: grouped or joined on it later, its rows need no shuffle."""
+    spark = df.sparkSession
+    table_name = f"llm_{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).option("path", scratch(spark, name)).saveAsTable(table_name)
+    return spark.table(table_name)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> SparkSession:
     """Whole texts go to Python in batches bounded by rows and bytes; executors get the package."""
     _ship(spark.sparkContext)

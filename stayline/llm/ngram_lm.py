@@ -8,11 +8,13 @@ it makes; the failure arc leads to the state of the history less its first word,
 once from left to right: the state is carried on, log-probabilities are added up.
 
 The corpus' model is larger than any machine's memory, so no task holds it.  Texts are read in chunks of about
-``CHUNK`` tokens.  A chunk sends the sorted hashes of its n-grams, with their training counts, to buckets that cover
-ranges of hashes; a bucket (about ``BUCKET`` n-grams, as many buckets as the text needs) adds the counts of all
-chunks and answers each with the corpus' counts in the order of its n-grams.  From these a chunk builds exactly the
-part of the automaton that its texts can reach.  An n-gram comes once per chunk however often the text has it, so a hot
-word costs a bucket 9 bytes per chunk.  Nothing is left out: all n-grams of all training texts count.
+``CHUNK`` tokens, kept in a table bucketed by chunk.  Order by order, a chunk sends the sorted hashes of its n-grams, with
+their training counts, to buckets that cover ranges of hashes; a bucket (about ``BUCKET`` n-grams, as many buckets as the text
+needs) adds the counts of all chunks and answers each with the corpus' counts in the order of its n-grams.  From these a
+chunk builds exactly the part of the automaton that its texts can reach.  If no other chunk has an n-gram's history, or
+the n-gram less its first word, be it only in texts to be scored, then none has the n-gram either, and the chunk's own count is
+the answer: most long n-grams are never sent.  An n-gram comes once per chunk however often the text has it, so a hot word costs a bucket 9
+bytes per chunk.  Nothing is left out: all n-grams of all training texts count.
 
 Defined cases: a null or empty text is the end alone; a null id is drawn like an empty one, and returned null;
 repeated rows are texts of their own; bytes that are no UTF-8 are parts of words like all others; a very long
@@ -32,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, staged_by
 
 ORDER = 3
 #: Pseudo-counts of the shorter history, by the length of the longer one.
@@ -74,29 +76,33 @@ class Grams:
     """The distinct n-grams of a run of texts, in order of their hashes, and which of them ends at each token.
 
     ``keys[k]`` are those of k + 1 words, ``at[k]`` has the place there of the one that ends at a token, -1 where the text began
-    later.  The begin mark is a history, never predicted.
+    later.  ``last``, ``history`` and ``shorter`` have an n-gram's last word, itself without it, and itself without its first
+    word.  The begin mark is a history, never predicted.
     """
 
-    def __init__(self, hashes: np.ndarray, lengths: np.ndarray):
+    def __init__(self, hashes: np.ndarray, lengths: np.ndarray, order: int = ORDER):
         starts = np.cumsum(lengths) - lengths
         place = np.arange(len(hashes)) - np.repeat(starts, lengths)
         self.keys, self.at, run = [], [], hashes
-        for k in range(ORDER):
+        self.last, self.history, self.shorter = ([np.empty(0, np.int64)] for _ in range(3))
+        for k in range(order):
             if k:
                 run = np.concatenate([np.zeros(1, np.uint64), _joined(run[:-1], hashes[1:])])
-            whole = place >= k
-            keys, inverse = np.unique(run[whole], return_inverse=True)
+            whole = np.flatnonzero(place >= k)
+            keys, first, inverse = np.unique(run[whole], return_index=True, return_inverse=True)
             at = np.full(len(hashes), -1, np.int64)
             at[whole] = inverse
             self.keys.append(keys)
             self.at.append(at)
+            if k:
+                example = whole[first]
+                self.last.append(self.at[0][example])
+                self.history.append(self.at[k - 1][example - 1])
+                self.shorter.append(self.at[k - 1][example])
 
-    def counts(self, chosen: np.ndarray) -> list[np.ndarray]:
-        """How often each n-gram ends at a chosen token."""
-        out = []
-        for keys, at in zip(self.keys, self.at, strict=True):
-            out.append(np.bincount(at[chosen & (at >= 0)], minlength=len(keys)))
-        return out
+    def own_counts(self, k: int, chosen: np.ndarray) -> np.ndarray:
+        """How often each n-gram of k + 1 words ends at a chosen token."""
+        return np.bincount(self.at[k][chosen & (self.at[k] >= 0)], minlength=len(self.keys[k]))
 
 
 class Automaton:
@@ -110,13 +116,7 @@ class Automaton:
         self.n_words, total = words, n + v + 1
         share = (counts[0] + 1) / total
         first = [1, 1 + words]  # of the states of one word, of two
-        # the parts of an n-gram: its history and last word, and the n-gram without its first word
-        last, history, shorter = {}, {}, {}
-        for k in (1, 2):
-            found = np.flatnonzero(grams.at[k] >= 0)
-            one, where = np.unique(grams.at[k][found], return_index=True)
-            place = found[where]
-            last[k], history[k], shorter[k] = grams.at[0][place], grams.at[k - 1][place - 1], grams.at[k - 1][place]
+        last, history, shorter = grams.last, grams.history, grams.shorter
         seen = [c > 0 for c in counts]
         states, symbols, targets, weights = [], [], [], []
         # from no history; a word never seen keeps it so
@@ -156,12 +156,23 @@ class Automaton:
         return total
 
 
-def _packed(*columns: np.ndarray) -> bytes:
-    return zstandard.compress(b"".join(np.ascontiguousarray(c).tobytes() for c in columns), 1)
+def _packed(numbers: np.ndarray) -> bytes:
+    """Integers as bytes, byte by byte: the high ones are mostly 0."""
+    planes = np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), -1).T
+    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
+
+
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _ascending(hashes: np.ndarray) -> bytes:
+    return _packed(np.diff(hashes, prepend=np.uint64(0)))
 
 
-def _counts(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), np.uint32).astype(np.int64)
+def _hashes(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(data, np.uint64), dtype=np.uint64)
 
 
 CHUNKS = "chunk long, words binary, text binary, doc_ids array<long>, held array<boolean>, lengths array<long>"
@@ -179,7 +190,7 @@ def _chunks(docs: DataFrame, held: Column, chunk: int) -> DataFrame:
 
     def flush(number: int, ids: list, outs: list, hashes: list) -> pa.RecordBatch:
         words, text = np.unique(np.concatenate(hashes), return_inverse=True)
-        row = (number, _packed(words), _packed(text.astype(np.uint32)), ids, outs, [len(h) for h in hashes])
+        row = (number, _ascending(words), _packed(text.astype(np.uint32)), ids, outs, [len(h) for h in hashes])
         return _batch(CHUNKS, CHUNK_KINDS, [row])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,66 +212,96 @@ def _chunks(docs: DataFrame, held: Column, chunk: int) -> DataFrame:
     return rows.mapInArrow(run, CHUNKS)
 
 
-def _texts(words: bytes, text: bytes) -> np.ndarray:
-    """A chunk's texts as hashes."""
-    return np.frombuffer(zstandard.decompress(words), np.uint64)[np.frombuffer(zstandard.decompress(text), np.uint32)]
+class Chunk:
+    """A chunk's texts, and the corpus' counts of its n-grams as far as they are answered."""
+
+    def __init__(self, row: dict, answers: list[dict], order: int):
+        self.lengths = np.array(row["lengths"])
+        self.grams = Grams(_hashes(row["words"])[_unpacked(row["text"], np.uint32)], self.lengths, order)
+        self.chosen = np.repeat(~np.array(row["held"]), self.lengths)
+        answered: dict[int, list] = {}
+        for a in sorted(answers, key=lambda a: (a["order"], a["bucket"])):
+            answered.setdefault(a["order"], []).append(_unpacked(a["counts"], np.int64))
+        self.counts: list[np.ndarray] = []
+        self.elsewhere: list[np.ndarray] = []
+        for k in range(order if answers else 0):
+            asked = self.asked(k)
+            if k + 1 in answered or not asked.any():
+                self.counts.append(self.grams.own_counts(k, self.chosen))
+                self.elsewhere.append(np.zeros(len(asked), bool))
+                if k + 1 in answered:
+                    found = np.concatenate(answered[k + 1])
+                    self.counts[k][asked], self.elsewhere[k][asked] = found >> 1, found & 1 == 1
+
+    def asked(self, k: int) -> np.ndarray:
+        """Which n-grams of k + 1 words other chunks may have, by what is known of the shorter ones."""
+        if not k:
+            return np.ones(len(self.grams.keys[0]), bool)
+        return self.elsewhere[k - 1][self.grams.history[k]] & self.elsewhere[k - 1][self.grams.shorter[k]]
+
+    def parts(self, number: int, edges: np.ndarray) -> Iterator[tuple]:
+        """Rows of ``PARTS`` for the order that follows the answers."""
+        k = len(self.grams.keys) - 1
+        asked = self.asked(k)
+        keys, counts = self.grams.keys[k][asked], self.grams.own_counts(k, self.chosen)[asked]
+        cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+        for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            if i < j:
+                yield b, number, _ascending(keys[i:j]), _packed(counts[i:j].astype(np.uint32))
+
+
+#: A chunk's n-grams of one bucket.
+PARTS = "bucket int, chunk long, hashes binary, counts binary"
+PART_KINDS = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+ANSWERS = "order int, bucket int, chunk long, counts binary, known long"
 
 
-#: A chunk's n-grams of one order and bucket.
-PARTS = "order int, bucket int, chunk long, hashes binary, counts binary"
-PART_KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+def _with_answers(chunks: DataFrame, answers: DataFrame | None, function, schema: str) -> DataFrame:
+    """``function`` of each chunk's row and the answers to it, on the task that has the row."""
 
+    def alone(table: pa.Table) -> pa.Table:
+        return function(table.to_pylist()[0], [])
 
-def _edges(buckets: int) -> np.ndarray:
-    """The least hash of every bucket but the first."""
-    return np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
+    def both(table: pa.Table, found: pa.Table) -> pa.Table:
+        return function(table.to_pylist()[0], found.to_pylist())
 
+    if answers is None:
+        return chunks.groupBy("chunk").applyInArrow(alone, schema)
+    own = answers.filter("chunk IS NOT NULL").select(F.col("chunk").alias("of"), "order", "bucket", "counts")
+    return chunks.groupBy("chunk").cogroup(own.groupBy("of")).applyInArrow(both, schema)
 
-def _parts(chunks: DataFrame, buckets: int) -> DataFrame:
-    """Rows of ``PARTS``."""
-    edges = _edges(buckets)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, words, text, outs, lengths in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                grams, rows = Grams(_texts(words, text), np.array(lengths)), []
-                chosen = np.repeat(~np.array(outs), lengths)
-                for k, (keys, counts) in enumerate(zip(grams.keys, grams.counts(chosen), strict=True)):
-                    cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
-                    for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                        if i < j:  # steps from hash to hash, byte by byte: the high bytes are mostly 0
-                            steps = np.diff(keys[i:j], prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
-                            rows.append((k + 1, b, number, _packed(steps), _packed(counts[i:j].astype(np.uint32))))
-                yield _batch(PARTS, PART_KINDS, rows)
+def _parts(chunks: DataFrame, answers: DataFrame | None, order: int, buckets: int) -> DataFrame:
+    """Rows of ``PARTS`` for n-grams of ``order`` words, of which the shorter ones are answered."""
+    edges = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
 
-    return chunks.select("chunk", "words", "text", "held", "lengths").mapInArrow(run, PARTS)
+    def ask(row: dict, found: list[dict]) -> pa.Table:
+        return pa.Table.from_batches([_batch(PARTS, PART_KINDS, list(Chunk(row, found, order).parts(row["chunk"], edges)))])
 
+    needed = chunks.select("chunk", "words", "text", "held", "lengths")
+    return _with_answers(needed, answers, ask, PARTS)
 
-ANSWERS = "order int, bucket int, chunk long, counts binary, known long"
 
-
-def _answers(parts: DataFrame) -> DataFrame:
-    """The corpus' counts of each chunk's n-grams by order and bucket; without a chunk: how many words are known."""
+def _answers(parts: DataFrame, order: int) -> DataFrame:
+    """Twice the corpus' counts of each chunk's n-grams by bucket, and one if another chunk has them too; without a chunk: how
+    many words are known.
+    """
 
     def add(table: pa.Table) -> pa.Table:
-        order, bucket = table.column("order")[0].as_py(), table.column("bucket")[0].as_py()
-        keys = [np.frombuffer(zstandard.decompress(d), np.uint8).reshape(8, -1).T for d in table.column("hashes").to_pylist()]
-        keys = [np.cumsum(np.ascontiguousarray(k).view("<u8").ravel(), dtype=np.uint64) for k in keys]
-        counts = np.concatenate([_counts(d) for d in table.column("counts").to_pylist()])
-        distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        hashes = [_hashes(d) for d in table.column("hashes").to_pylist()]
+        counts = np.concatenate([_unpacked(d, np.uint32) for d in table.column("counts").to_pylist()])
+        distinct, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
         total = np.zeros(len(distinct), np.int64)
         np.add.at(total, inverse, counts)
         known = int(((total > 0) & (distinct != np.uint64(BEGIN))).sum()) if order == 1 else 0
-        cuts, all_counts = np.cumsum([len(k) for k in keys])[:-1], total[inverse]
-        packed = [_packed(c.astype(np.int64)) for c in np.split(all_counts, cuts)]
-        chunks = [*table.column("chunk").to_pylist(), None]
-        n = len(chunks)
-        columns = [[order] * n, [bucket] * n, chunks, [*packed, None], [*[None] * (n - 1), known]]
+        told = total * 2 + (np.bincount(inverse) > 1)
+        packed = [_packed(c) for c in np.split(told[inverse], np.cumsum([len(h) for h in hashes])[:-1])]
+        bucket, chunks = table.column("bucket")[0].as_py(), table.column("chunk").to_pylist()
+        rows = [(order, bucket, c, p, None) for c, p in zip(chunks, packed, strict=True)]
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64()]
-        names = ["order", "bucket", "chunk", "counts", "known"]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+        return pa.Table.from_batches([_batch(ANSWERS, kinds, [*rows, (order, bucket, None, None, known)])])
 
-    return parts.groupBy("order", "bucket").applyInArrow(add, ANSWERS)
+    return parts.groupBy("bucket").applyInArrow(add, ANSWERS)
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -269,42 +310,34 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def scores(docs: DataFrame, held: Column, chunk: int = CHUNK, bucket: int = BUCKET) -> DataFrame:
     """``SCORES`` of every row of ``docs`` (doc_id, text), by a model of the rows for which ``held`` is false."""
     length, rows = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
-    chunks = staged(_chunks(docs, held, chunk), "chunks")
-    answers = staged(_answers(_parts(chunks, (length // 6 + 2 * rows) // bucket + 8)), "answers")
+    chunks = staged_by(_chunks(docs, held, chunk), "chunk", "chunks")
+    buckets, answers = (length // 6 + 2 * rows) // bucket + 8, None
+    for order in range(1, ORDER + 1):
+        more = staged(_answers(_parts(chunks, answers, order, buckets), order), "answers")
+        answers = answers.union(more) if answers else more
     each = F.arrays_zip("held", "lengths")
     trained = F.aggregate(each, F.lit(0).cast("long"), lambda n, x: n + F.when(x["held"], 0).otherwise(x["lengths"] - 1))
     n = chunks.agg(F.coalesce(F.sum(trained), F.lit(0))).first()[0]
     v = answers.agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
+    kinds = [pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2]
 
-    def walk(own: pa.Table, found: pa.Table) -> pa.Table:
-        row = own.to_pylist()[0]
-        lengths = np.array(row["lengths"])
-        grams = Grams(_texts(row["words"], row["text"]), lengths)
-        text = grams.at[0]
-        found = found.sort_by([("order", "ascending"), ("bucket", "ascending")])
-        counts: list[list] = [[] for _ in range(ORDER)]
-        for k, data in zip(found.column("order").to_pylist(), found.column("counts").to_pylist(), strict=True):
-            counts[k - 1].append(np.frombuffer(zstandard.decompress(data), np.int64))
-        counts = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in counts]
-        automaton = Automaton(grams, counts, n, v)
-        ends = np.cumsum(lengths)
+    def walk(row: dict, found: list[dict]) -> pa.Table:
+        own = Chunk(row, found, ORDER)
+        automaton, text, known = Automaton(own.grams, own.counts, n, v), own.grams.at[0], own.counts[0] > 0
+        ends = np.cumsum(own.lengths)
+        starts = ends - own.lengths
         token = np.ones(len(text), bool)
-        token[ends - lengths] = False  # the begin marks
-        base = np.where(token, np.log10((counts[0] + 1) / (n + v + 1))[text], 0)
-        known = (counts[0] > 0)[text] & token
-        starts = ends - lengths
+        token[starts] = False  # the begin marks
         columns = [
             row["doc_ids"],
             row["held"],
-            lengths - 1,
-            np.add.reduceat(known.astype(np.int64), starts),
-            np.full(len(lengths), n),
-            np.add.reduceat(base, starts),
+            own.lengths - 1,
+            np.add.reduceat((known[text] & token).astype(np.int64), starts),
+            np.full(len(starts), n),
+            np.add.reduceat(np.where(token, np.log10((own.counts[0] + 1) / (n + v + 1))[text], 0), starts),
             [automaton.score(text[a:b].tolist()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)],
         ]
         names = [c.split()[0] for c in SCORES.split(", ")]
-        kinds = [pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2]
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
-    answered = answers.filter("chunk IS NOT NULL").select("chunk", "order", "bucket", "counts")
-    return chunks.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(walk, SCORES)
+    return _with_answers(chunks, answers, walk, SCORES)
