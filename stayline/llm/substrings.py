@@ -1,19 +1,21 @@
 """Removal of word windows that also start earlier, with a count-min prefilter.
 
-1. Every task counts its windows into a count-min sketch (``ROWS`` rows of cells that say none, one, or
-   more); the sketches are merged block by block.  A window's count is never underestimated.
-2. A second pass keeps only windows whose cells all say "more".  Within a task's block of documents all
-   but the first occurrence are decided at once; the first ones, with a 96-bit hash of their words, are
-   grouped exactly by hash, so a window that a third of all documents share comes once per block.
-3. The starts found reach the documents by a join, and the covered words go.
-
-The sketch's cells grow with the text up to ``MAX_CELLS`` per row, so that what is broadcast is at most
-``ROWS`` x ``MAX_CELLS`` bits (64 MB).  Beyond, steps 1 and 2 are run once for each of several ranges of the windows'
-hashes, so many that a cell gets half a window on average: the filter stays as sharp, every range reads the text anew.
+1. The table is kept as chunks of about ``CHUNK`` bytes of text, bucketed by chunk, so that no later step shuffles
+   a text.  Every chunk puts its windows into a count-min sketch (``ROWS`` rows of cells).  The sketches are merged block by
+   block, a block being a range of cells; each chunk gets back one bit for every cell it has hit: hit once in all, or more often.
+   A window's count is never underestimated.
+2. A second pass keeps only windows whose cells were all hit more often.  Within a chunk all but the first
+   occurrence are decided at once; the first ones, with a 96-bit hash of their words, are grouped
+   exactly by hash, so a window that a third of all documents share comes once per chunk.
+3. The starts found go back to their chunks, and the covered words go.
+
+The sketch has four to eight cells in a row for each window, at any size: no task and not the driver holds it whole, and the
+text is hashed twice whatever its length.
 
 Defined cases: a null, empty or short text loses nothing; a null id counts as the smallest; rows with one
-id are ordered by their texts' hashes, and equal rows are one document (both lose the same); other
-columns are kept by ``deduplicated``, but for those named like the ones it adds, and ignored by
+id are ordered by their texts' hashes, and equal rows are one document (both lose the same); a very long text is
+hashed in parts, and stays whole in a chunk of its own size; bytes that are no UTF-8 are parts of words like all others, and
+stay; other columns are kept by ``deduplicated``, but for those named like the ones it adds, and ignored by
 ``removed``; an empty table gives an empty one.
 """
 
@@ -21,26 +23,28 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
-from functools import reduce
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import packed, staged_by, unpacked
 
 WINDOW = 20
 ROWS = 2
-MAX_CELLS = 1 << 28
 #: Cells in a block, the unit in which sketches are merged.
-BLOCK = 1 << 22
+BLOCK = 1 << 24
+#: Bytes of text in a chunk.
+CHUNK = 8_000_000
 #: Words that a task hashes at once.
 AT_ONCE = 400_000
-#: Windows that one sketch of a task, or one bucket of candidates, holds.
+#: Windows of the text for each bucket of candidates.
 BLOCK_WINDOWS = 2_000_000
 #: Distinct words a worker remembers the hashes of.
 KEPT = 500_000
@@ -119,113 +123,92 @@ def _windows(texts: list[bytes | None], known: WordHashes, size: int) -> Iterato
         yield np.array(rows)[of], at + np.array(places)[of], _rolled(low, size), _rolled(high, size), true
 
 
-def _in_range(low: np.ndarray, part: int, ranges: int) -> np.ndarray | bool:
-    """Which windows are in range ``part`` of ``ranges``, by the upper bits of a hash, which choose no cell."""
-    if ranges == 1:
-        return True
-    return (low >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32) == np.uint64(part)
+def _batch(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[] for _ in names]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
-def _gaps(values: np.ndarray) -> bytes:
-    """Ascending integers from 0 as bytes: 255 says that a gap goes on."""
-    more, rest = np.divmod(np.diff(values.astype(np.int64), prepend=-1), 255)
-    out = np.full(len(values) + int(more.sum()), 255, np.uint8)
-    out[np.arange(len(values)) + np.cumsum(more)] = rest
-    return out.tobytes()
+def _hashed(texts: list[bytes | None], size: int) -> tuple[np.ndarray, ...]:
+    """row, start and two hashes of every window."""
+    known, found = WordHashes(), []
+    for row, at, low, high, true in _windows(texts, known, size):
+        found.append((row[true], at[true], low[true], high[true]))
+    kinds = (np.int64, np.int64, np.uint64, np.uint64)
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else tuple(np.empty(0, k) for k in kinds)
 
 
-def _ungapped(data: bytes) -> np.ndarray:
-    steps = np.frombuffer(data, np.uint8)
-    return np.cumsum(steps, dtype=np.int64)[steps != 255] - 1
+class Sketch:
+    """The cells that a chunk's windows hit: of each row those hit, in order, and which of them a window hits."""
 
+    def __init__(self, low: np.ndarray, high: np.ndarray, cells: int):
+        self.hit, self.more, self.of = [], [], []
+        for hashes in (low, high):
+            hit, of, counts = np.unique(hashes & np.uint64(cells - 1), return_inverse=True, return_counts=True)
+            self.hit.append(hit.astype(np.int64))
+            self.more.append(counts > 1)
+            self.of.append(of)
+        self.edges = np.arange(0, max(cells, BLOCK) + 1, BLOCK)
 
-def _batch(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True) if rows else [[] for _ in names]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+    def blocks(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Blocks in order, the cells hit there, and which of them more than once."""
+        for row, (hit, more) in enumerate(zip(self.hit, self.more, strict=True)):
+            cuts = np.searchsorted(hit, self.edges).tolist()
+            for block, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                if a < b:
+                    yield row * len(cuts) + block, hit[a:b] - self.edges[block], more[a:b]
 
+    def repeated(self, answers: dict[int, bytes]) -> np.ndarray:
+        """Which windows have only cells that the corpus hits more than once."""
+        bits = [np.unpackbits(np.frombuffer(answers[b], np.uint8), count=len(hit)) for b, hit, _ in self.blocks()]
+        flat, at = np.concatenate(bits) if bits else np.empty(0, np.uint8), 0
+        out = np.ones(len(self.of[0]), bool)
+        for hit, of in zip(self.hit, self.of, strict=True):
+            out &= flat[at : at + len(hit)][of] == 1
+            at += len(hit)
+        return out
 
-PARTS = "block long, once binary, more binary"
-PART_KINDS = [pa.int64(), pa.binary(), pa.binary()]
 
+PARTS = "block long, chunk long, cells binary, more binary"
+ANSWERS = "block long, chunk long, bits binary"
 
-def _sketches(docs: DataFrame, size: int, cells: int, part: int = 0, ranges: int = 1) -> DataFrame:
-    """Rows of ``PARTS``: the cells of a block that one part of a task has hit once, and more often, in one range."""
 
-    def flush(hashes: list) -> Iterator[pa.RecordBatch]:
-        for row in range(ROWS):
-            hit = np.sort(np.concatenate([h[row] for h in hashes]))
-            new = np.ones(len(hit), bool)
-            new[1:] = hit[1:] != hit[:-1]
-            first = np.flatnonzero(new)
-            again = np.diff(first, append=len(hit)) > 1
-            hit = hit[first].astype(np.int64)
-            cuts = np.searchsorted(hit, np.arange(0, cells + BLOCK, BLOCK)).tolist()
-            out = []
-            for block, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                if a < b:
-                    at, more = hit[a:b] - block * BLOCK, again[a:b]
-                    out.append((row * (cells // BLOCK or 1) + block, _gaps(at[~more]), _gaps(at[more])))
-            yield _batch(["block", "once", "more"], PART_KINDS, out)
+def _sketches(chunks: DataFrame, size: int, cells: int) -> DataFrame:
+    """Rows of ``PARTS``: the cells of a block that a chunk has hit, and which of them more than once."""
+    kinds, names = [pa.int64(), pa.int64(), pa.binary(), pa.binary()], ["block", "chunk", "cells", "more"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, hashes, n, mask = WordHashes(), [], 0, np.uint64(cells - 1)
         for batch in batches:
-            for _, _, low, high, true in _windows(batch.column(0).to_pylist(), known, size):
-                true &= _in_range(low, part, ranges)
-                hashes.append([(h[true] & mask).astype(np.uint32) for h in (low, high)])
-                n += len(hashes[-1][0])
-                if n >= BLOCK_WINDOWS:
-                    yield from flush(hashes)
-                    hashes, n = [], 0
-        if hashes:
-            yield from flush(hashes)
+            for chunk, texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                _, _, low, high = _hashed(texts, size)
+                rows = []
+                for block, hit, more in Sketch(low, high, cells).blocks():
+                    steps = np.diff(hit, prepend=0).astype(np.uint32)
+                    rows.append((block, chunk, packed(steps), np.packbits(more).tobytes()))
+                yield _batch(names, kinds, rows)
 
-    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, PARTS)
+    return chunks.select("chunk", "whole").mapInArrow(run, PARTS)
 
 
-def _merged(parts: DataFrame) -> DataFrame:
-    """One row per block; a stream of rows ordered by block, two bitmaps in memory."""
+def _answers(sketches: DataFrame) -> DataFrame:
+    """Rows of ``ANSWERS``: for each cell that a chunk has hit, in order, whether all chunks hit it more than once."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, hit, more = None, None, None
+    def merge(table: pa.Table) -> pa.Table:
+        block, chunks = table.column("block")[0].as_py(), table.column("chunk").to_pylist()
+        count, hits = np.zeros(BLOCK, np.uint8), table.column("cells").to_pylist()
+        for cells, more in zip(hits, table.column("more").to_pylist(), strict=True):
+            hit = np.cumsum(unpacked(cells, np.uint32))
+            again = np.unpackbits(np.frombuffer(more, np.uint8), count=len(hit))
+            count[hit] = np.minimum(2, count[hit] + 1 + again)
+        bits = [np.packbits(count[np.cumsum(unpacked(cells, np.uint32))] > 1).tobytes() for cells in hits]
+        columns = [pa.array([block] * len(chunks), pa.int64()), pa.array(chunks, pa.int64()), pa.array(bits, pa.binary())]
+        return pa.table(columns, ["block", "chunk", "bits"])
 
-        def out():
-            both = [(block, _gaps(np.flatnonzero(hit & ~more)), _gaps(np.flatnonzero(more)))]
-            return _batch(["block", "once", "more"], PART_KINDS, both)
-
-        for batch in batches:
-            for b, once, again in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if b != block:
-                    if block is not None:
-                        yield out()
-                    block, hit, more = b, np.zeros(BLOCK, bool), np.zeros(BLOCK, bool)
-                once = _ungapped(once)
-                more[once[hit[once]]] = True
-                hit[once] = True
-                again = _ungapped(again)
-                hit[again] = more[again] = True
-        if block is not None:
-            yield out()
-
-    return parts.repartition("block").sortWithinPartitions("block").mapInArrow(run, PARTS)
-
-
-def _repeated_cells(docs: DataFrame, size: int, cells: int, part: int = 0, ranges: int = 1) -> np.ndarray:
-    """A bit per cell: hit more than once.  ``ROWS`` x ``cells`` bits, at most 64 MB, come to the driver."""
-    bits = np.zeros((ROWS, max(cells, BLOCK) // 8), np.uint8)
-    per_row = cells // BLOCK or 1
-    for row in _merged(_sketches(docs, size, cells, part, ranges)).select("block", "more").toLocalIterator():
-        flags = np.zeros(BLOCK, bool)
-        flags[_ungapped(row["more"])] = True
-        at = row["block"] % per_row * (BLOCK // 8)
-        bits[row["block"] // per_row, at : at + BLOCK // 8] = np.packbits(flags, bitorder="little")
-    return bits
+    return sketches.groupBy("block").applyInArrow(merge, ANSWERS)
 
 
 ADDED = ["n_words", "n_removed", "kept"]
-STARTS = "k1 long, k2 long, starts binary"
-#: A candidate: the hash of its words, its document's key, its start.
-ENTRY = {"h1": "<u8", "h2": "<u4", "k1": "<i8", "k2": "<i8", "pos": "<u4"}
+#: A candidate: the hash of its words, its document's key, its start, its document's row in the chunk.
+ENTRY = {"h1": "<u8", "h2": "<u4", "k1": "<i8", "k2": "<i8", "pos": "<u4", "row": "<u4"}
 Entries = dict[str, np.ndarray]
 
 
@@ -274,14 +257,14 @@ def _unpacked(data: bytes, names: tuple[str, ...] = tuple(ENTRY)) -> Entries:
     return out
 
 
-def _dealt(entries: Entries, part: np.ndarray, parts: int, names: tuple[str, ...]) -> Iterator[tuple[int, bytes]]:
+def _dealt(entries: Entries, part: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
     """Entries packed by part, each in order of document and start."""
     order = np.lexsort([entries[n] for n in ("pos", "k2", "k1")])
     order = order[np.argsort(part[order], kind="stable")]
     cuts = np.searchsorted(part[order], np.arange(parts + 1)).tolist()
     for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
         if a < b:
-            yield i, _packed({n: entries[n][order[a:b]] for n in names})
+            yield i, _packed({n: entries[n][order[a:b]] for n in ENTRY})
 
 
 def _key() -> list:
@@ -292,138 +275,147 @@ def _key() -> list:
     ]
 
 
-FOUND = ("k1", "k2", "pos")
-DEALT = "bucket int, chunk int, packed binary"
+FOUND = ("pos", "row")
+DEALT = "bucket int, chunk long, decided boolean, packed binary"
+DEALT_KINDS = [pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
 
 
-def _in_chunks(later: Entries, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """Decided starts by chunk, a set of documents."""
-    mixed = _joined(later["k1"].view(np.uint64), later["k2"].view(np.uint64))
-    return _dealt(later, (mixed % np.uint64(buckets)).astype(np.int64), buckets, FOUND)
+def _found(later: Entries) -> bytes:
+    order = np.lexsort([later["pos"], later["row"]])
+    return _packed({n: later[n][order] for n in FOUND})
 
 
-def _candidates(
-    docs: DataFrame, size: int, cells: int, buckets: int, bits, part: int = 0, ranges: int = 1
-) -> DataFrame:
-    """Rows of ``DEALT`` of one range: with a chunk, starts already decided; without, first occurrences, by bucket of
-    their hash.
-    """
-    kinds, names = [pa.int32(), pa.int32(), pa.binary()], ["bucket", "chunk", "packed"]
+def _candidates(chunks: DataFrame, answers: DataFrame, size: int, cells: int, buckets: int) -> DataFrame:
+    """Rows of ``DEALT``: starts of a chunk already decided, or first occurrences there, by bucket of their hash."""
+    names = [c.split()[0] for c in DEALT.split(", ")]
 
-    def flush(found: list[Entries]) -> pa.RecordBatch:
-        entries = {n: np.concatenate([f[n] for f in found]) for n in ENTRY}
+    def run(own: pa.Table, found: pa.Table) -> pa.Table:
+        chunk = own.column("chunk")[0].as_py()
+        row, at, low, high = _hashed(own.column("whole")[0].as_py(), size)
+        bits = dict(zip(found.column("block").to_pylist(), found.column("bits").to_pylist(), strict=True))
+        hits = np.flatnonzero(Sketch(low, high, cells).repeated(bits))
+        row = row[hits]
+        key = [np.array(own.column(k)[0].as_py(), np.int64)[row] for k in ("k1", "k2")]
+        entry = [low[hits], high[hits] >> np.uint64(32), *key, at[hits], row]
+        entries = {n: a.astype(k) for (n, k), a in zip(ENTRY.items(), entry, strict=True)}
         which, later = _later(entries)
-        rows = [(chunk, chunk, packed) for chunk, packed in _in_chunks(later, buckets)]
-        stays = np.ones(len(entries["h1"]), bool)
+        rows = [(chunk % buckets, chunk, True, _found(later))] if len(which) else []
+        stays = np.ones(len(hits), bool)
         stays[which] = False
         first = _taken(entries, stays)
         bucket = ((first["h1"] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-        rows += [(b, None, packed) for b, packed in _dealt(first, bucket, buckets, tuple(ENTRY))]
-        return _batch(names, kinds, rows)
+        rows += [(b, chunk, False, data) for b, data in _dealt(first, bucket, buckets)]
+        return pa.Table.from_batches([_batch(names, DEALT_KINDS, rows)])
+
+    own = chunks.select("chunk", "k1", "k2", "whole")
+    answers = answers.withColumnRenamed("chunk", "of")
+    return own.groupBy("chunk").cogroup(answers.groupBy("of")).applyInArrow(run, DEALT)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repeated, known, found, n = bits.value, WordHashes(), [], 0
-        mask = np.uint64(cells - 1)
-        for batch in batches:
-            k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for row, at, low, high, hits in _windows(batch.column(2).to_pylist(), known, size):
-                hits &= _in_range(low, part, ranges)
-                for bitmap, hashed in zip(repeated, (low, high), strict=True):
-                    cell = hashed & mask
-                    byte = bitmap[(cell >> np.uint64(3)).astype(np.int64)]
-                    hits &= (byte >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                hits = np.flatnonzero(hits)
-                if len(hits):
-                    row = row[hits]
-                    entry = [low[hits], (high[hits] >> np.uint64(32)), k1[row], k2[row], at[hits]]
-                    found.append({n: a.astype(k) for (n, k), a in zip(ENTRY.items(), entry, strict=True)})
-                    n += len(hits)
-                    if n >= BLOCK_WINDOWS // 2:
-                        yield flush(found)
-                        found, n = [], 0
-        if found:
-            yield flush(found)
-
-    rows = docs.select(*_key(), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, DEALT)
-
-
-def _all_candidates(docs: DataFrame, size: int, cells: int, buckets: int, windows: int) -> DataFrame:
-    """``_candidates`` of every range; one sketch at a time is held and broadcast."""
-    ranges, found = -(-2 * windows // cells), []
-    for part in range(ranges):
-        bits = docs.sparkSession.sparkContext.broadcast(_repeated_cells(docs, size, cells, part, ranges))
-        rows = _candidates(docs, size, cells, buckets, bits, part, ranges)
-        if ranges > 1:
-            rows = staged(rows, "candidates")
-            bits.destroy()
-        found.append(rows)
-    return reduce(DataFrame.union, found)
-
-
-def _starts(candidates: DataFrame, buckets: int) -> DataFrame:
-    """Rows of ``STARTS``, one per document that loses words."""
+
+def _starts(candidates: DataFrame) -> DataFrame:
+    """Starts of windows that also start earlier, by chunk."""
 
     def decide(table: pa.Table) -> pa.Table:
-        chunks, packed = table.column("chunk").to_pylist(), table.column("packed").to_pylist()
-        rows = [(c, p) for c, p in zip(chunks, packed, strict=True) if c is not None]
-        firsts = [_unpacked(p) for c, p in zip(chunks, packed, strict=True) if c is None]
+        chunks, decided, data = (table.column(c).to_pylist() for c in ("chunk", "decided", "packed"))
+        rows = [(c, p) for c, d, p in zip(chunks, decided, data, strict=True) if d]
+        firsts = [(c, _unpacked(p)) for c, d, p in zip(chunks, decided, data, strict=True) if not d]
         if firsts:
-            _, later = _later({n: np.concatenate([f[n] for f in firsts]) for n in ENTRY})
-            rows += _in_chunks(later, buckets)
-        return pa.Table.from_batches([_batch(["chunk", "packed"], [pa.int32(), pa.binary()], rows)])
+            entries = {n: np.concatenate([f[n] for _, f in firsts]) for n in ENTRY}
+            source = np.repeat(np.arange(len(firsts)), [len(f["pos"]) for _, f in firsts])
+            which, _ = _later(entries)
+            which = np.sort(which)
+            cuts = np.searchsorted(source[which], np.arange(len(firsts) + 1)).tolist()
+            for (chunk, _), a, b in zip(firsts, cuts, cuts[1:], strict=False):
+                if a < b:
+                    rows.append((chunk, _found(_taken(entries, which[a:b]))))
+        return pa.Table.from_batches([_batch(["of", "packed"], [pa.int64(), pa.binary()], rows)])
 
-    def gather(table: pa.Table) -> pa.Table:
-        parts = [_unpacked(p, FOUND) for p in table.column("packed").to_pylist()]
-        e = {n: np.concatenate([p[n] for p in parts]) for n in FOUND}
-        e = _taken(e, np.lexsort([e[n] for n in ("pos", "k2", "k1")]))
-        e = _taken(e, _changes(*e.values()))
-        cuts = [*np.flatnonzero(_changes(e["k1"], e["k2"])).tolist(), len(e["k1"])]
-        rows = [(int(e["k1"][a]), int(e["k2"][a]), _gaps(e["pos"][a:b])) for a, b in zip(cuts, cuts[1:], strict=False)]
-        return pa.Table.from_batches([_batch(["k1", "k2", "starts"], [pa.int64(), pa.int64(), pa.binary()], rows)])
+    return candidates.groupBy("bucket").applyInArrow(decide, "of long, packed binary")
 
-    decided = candidates.groupBy("bucket").applyInArrow(decide, "chunk int, packed binary")
-    return decided.groupBy("chunk").applyInArrow(gather, STARTS)
 
+def _chunks(docs: DataFrame, columns: list[str], chunk: int) -> DataFrame:
+    """Rows of chunk, and of lists over its documents: k1, k2, whole (the text), and c0, c1, ... for ``columns``."""
+    plain = [f"c{i}" for i in range(len(columns))]
+    names = ["chunk", "k1", "k2", "whole", *plain]
 
-def deduplicated(docs: DataFrame, size: int = WINDOW, max_cells: int = MAX_CELLS) -> DataFrame:
-    """``docs`` with n_words, n_removed and kept (the words left, joined by one space)."""
-    length = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    windows = length // 6 + 1
-    cells = min(max_cells, max(1 << 16, 1 << int(2 * windows - 1).bit_length()))
-    buckets = windows // BLOCK_WINDOWS + 16
-    starts = _starts(_all_candidates(docs, size, cells, buckets, windows), buckets)
+    def flush(number: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        whole = pa.array([0, table.num_rows], pa.int32())
+        lists = [pa.ListArray.from_arrays(whole, c.chunk(0)) for c in table.columns]
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists], names)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, number = [], 0, TaskContext.get().partitionId() << 32
         for batch in batches:
-            counts, gone, kept = [], [], []
-            texts, lists = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for text, starts_of in zip(texts, lists, strict=True):
-                words = text.split() if text else []
-                counts.append(len(words))
-                if starts_of:
-                    at = _ungapped(starts_of)  # all different
-                    edges = np.zeros(len(words) + 1, np.int64)
-                    edges[at] += 1
-                    edges[at + size] -= 1
-                    words = list(compress(words, (np.cumsum(edges)[:-1] == 0).tolist()))
-                gone.append(counts[-1] - len(words))
-                kept.append(b" ".join(words))
-            new = [pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], *new], names)
-
-    # own names on the way, whatever the table's columns are called
-    columns = [c for c in docs.columns if c not in ADDED]
-    plain = [f"c{i}" for i in range(len(columns))]
-    names = [*plain, *ADDED]
-    whole = F.col("text").cast("binary").alias("whole")
-    aliased = [F.col(f"`{c}`").alias(p) for c, p in zip(columns, plain, strict=True)]
-    rows = docs.select(*_key(), whole, *aliased).join(starts, ["k1", "k2"], "left").select("whole", "starts", *plain)
-    schema = ", ".join(f"{p} {docs.schema[c].dataType.simpleString()}" for c, p in zip(columns, plain, strict=True))
-    out = rows.mapInArrow(cut, f"{schema}, n_words long, n_removed long, kept string")
-    return out.toDF(*columns, *ADDED)
+            if batch.num_rows:
+                held.append(batch)
+                n += pc.sum(pc.binary_length(batch.column(2))).as_py() or 0
+            if n >= chunk:
+                yield flush(number, held)
+                held, n, number = [], 0, number + 1
+        if held:
+            yield flush(number, held)
+
+    text = F.col("text").cast("binary").alias("whole")
+    rows = docs.select(*_key(), text, *(F.col(f"`{c}`").alias(p) for c, p in zip(columns, plain, strict=True)))
+    kinds = ["bigint", "bigint", "binary", *(docs.schema[c].dataType.simpleString() for c in columns)]
+    schema = ", ".join(f"{n} array<{k}>" for n, k in zip(names[1:], kinds, strict=True))
+    return rows.mapInArrow(run, f"chunk long, {schema}")
+
 
+def _as_text(values: pa.Array) -> pa.Array:
+    return pc.cast(values, options=pc.CastOptions(target_type=pa.string(), allow_invalid_utf8=True))
 
-def removed(docs: DataFrame, size: int = WINDOW, max_cells: int = MAX_CELLS) -> DataFrame:
+
+def _all_candidates(chunks: DataFrame, size: int, cells: int, buckets: int) -> DataFrame:
+    return _candidates(chunks, _answers(_sketches(chunks, size, cells)), size, cells, buckets)
+
+
+def _cells(windows: int) -> int:
+    return max(1 << 16, 1 << int(4 * windows - 1).bit_length())
+
+
+def deduplicated(docs: DataFrame, size: int = WINDOW, cells: int | None = None, chunk: int = CHUNK) -> DataFrame:
+    """``docs`` with n_words, n_removed and kept (the words left, joined by one space)."""
+    length = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    windows = length // 6 + 1
+    cells = cells or _cells(windows)
+    columns = [c for c in docs.columns if c not in ADDED]
+    # own names on the way, whatever the table's columns are called; the text is there once
+    others = [c for c in columns if c != "text"]
+    chunks = staged_by(_chunks(docs, others, chunk), "chunk", "texts")
+    starts = _starts(_all_candidates(chunks, size, cells, windows // BLOCK_WINDOWS + 16))
+    names = [*(f"c{i}" for i in range(len(others))), "whole", *ADDED]
+
+    def cut(own: pa.Table, found: pa.Table) -> pa.Table:
+        texts = own.column("whole").combine_chunks().flatten()
+        gone_at = [_unpacked(p, FOUND) for p in found.column("packed").to_pylist()]
+        rows = np.concatenate([np.empty(0, "<u4"), *(g["row"] for g in gone_at)])
+        starts_at = np.concatenate([np.empty(0, "<u4"), *(g["pos"] for g in gone_at)])
+        order = np.argsort(rows, kind="stable")
+        cuts = np.searchsorted(rows[order], np.arange(len(texts) + 1)).tolist()
+        counts, gone, kept = [], [], []
+        for text, a, b in zip(texts.to_pylist(), cuts, cuts[1:], strict=False):
+            words = text.split() if text else []
+            counts.append(len(words))
+            if a < b:
+                at = starts_at[order[a:b]].astype(np.int64)  # all different
+                edges = np.zeros(len(words) + 1, np.int64)
+                edges[at] += 1
+                edges[at + size] -= 1
+                words = list(compress(words, (np.cumsum(edges)[:-1] == 0).tolist()))
+            gone.append(counts[-1] - len(words))
+            kept.append(b" ".join(words))
+        lists = [own.column(n).combine_chunks().flatten() for n in names[: len(others)]]
+        strings = [_as_text(texts), _as_text(pa.array(kept, pa.binary()))]
+        return pa.table([*lists, strings[0], pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), strings[1]], names)
+
+    kinds = [docs.schema[c].dataType.simpleString() for c in others]
+    schema = ", ".join(f"{n} {k}" for n, k in zip(names, [*kinds, "string", "long", "long", "string"], strict=True))
+    out = chunks.drop("k1", "k2").groupBy("chunk").cogroup(starts.groupBy("of")).applyInArrow(cut, schema)
+    return out.toDF(*others, "text", *ADDED).select(*(F.col(f"`{c}`") for c in [*columns, *ADDED]))
+
+
+def removed(docs: DataFrame, size: int = WINDOW, cells: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_words, n_removed, kept."""
-    return deduplicated(docs.select("doc_id", "text"), size, max_cells).drop("text")
+    return deduplicated(docs.select("doc_id", "text"), size, cells, chunk).drop("text")

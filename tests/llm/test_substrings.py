@@ -5,7 +5,7 @@ import re
 import numpy as np
 
 from stayline.llm import substrings
-from stayline.llm.common import small_batches
+from stayline.llm.common import small_batches, staged_by
 
 SCHEMA = "doc_id long, text string, k1 string, kept int"
 
@@ -25,11 +25,6 @@ def plain(rows, size):
     return out
 
 
-def test_gaps_round_trip():
-    for values in ([], [0], [0, 1, 254, 255, 256, 5000], [700], list(range(0, 100000, 997))):
-        assert substrings._ungapped(substrings._gaps(np.array(values, np.int64))).tolist() == values
-
-
 def test_rolled_hashes_tell_runs_apart():
     rng = random.Random(1)
     words = np.array([rng.getrandbits(64) for _ in range(60)], np.uint64)
@@ -54,17 +49,48 @@ def test_against_brute_force(spark, monkeypatch):
 
 
 def test_filter_stays_sharp_beyond_the_cells(spark):
-    small_batches(spark)
+    small_batches(spark, 2)
     rng, common = random.Random(8), " ".join(f"again{i}" for i in range(12))
     rows = [(i, " ".join(f"{rng.getrandbits(32):08x}" for _ in range(60)) + (f" {common}" if i % 3 else "")) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    windows, cells = sum(len(t) for _, t in rows) // 6 + 1, 1 << 10
-    found = substrings._all_candidates(df, 5, cells, 1, windows).filter("chunk IS NULL").collect()
+    windows = sum(len(t) for _, t in rows) // 6 + 1
+    cells = 1 << int(4 * windows - 1).bit_length()
+    chunks = staged_by(substrings._chunks(df, [], 2000), "chunk", "test")
+    assert chunks.count() > 10
+    found = substrings._all_candidates(chunks, 5, cells, 1).filter("NOT decided").collect()
     entries = [e for r in found for e in zip(*(substrings._unpacked(r.packed)[n].tolist() for n in ("k1", "pos")), strict=True)]
     assert len(set(entries)) == len(entries)
     alone = sum(not (i % 3 and at >= 60) for i, at in entries)  # let through without need
-    assert alone < 0.35 * sum(60 if i % 3 else 56 for i, _ in rows)
-    assert sorted(map(tuple, substrings.removed(df, 5, cells).select("n_words", "n_removed", "kept").collect())) == sorted(plain(rows, 5))
+    assert alone < 0.1 * sum(60 if i % 3 else 56 for i, _ in rows)
+    for size in (2000, 1 << 20):
+        out = substrings.removed(df, 5, cells, size).select("n_words", "n_removed", "kept")
+        assert sorted(map(tuple, out.collect())) == sorted(plain(rows, 5))
+
+
+def test_several_blocks_and_parts_of_long_texts(spark, monkeypatch):
+    """In this process, as the bounds are constants."""
+    monkeypatch.setattr(substrings, "BLOCK", 1 << 6)
+    monkeypatch.setattr(substrings, "AT_ONCE", 11)
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(n)).encode() for n in (0, 3, 4, 5, 70, 200, 12)]
+    row, at, low, high = substrings._hashed(texts, 4)
+    words = [t.split() for t in texts]
+    windows = [tuple(words[r][a : a + 4]) for r, a in zip(row.tolist(), at.tolist(), strict=True)]
+    assert sorted(zip(row.tolist(), at.tolist(), strict=True)) == [(r, a) for r, w in enumerate(words) for a in range(len(w) - 3)]
+    sketch = substrings.Sketch(low, high, 1 << 10)
+    blocks = list(sketch.blocks())
+    assert len(blocks) > 20 and len({b for b, _, _ in blocks}) == len(blocks)
+    repeated = sketch.repeated({b: np.packbits(more).tobytes() for b, _, more in blocks}).tolist()
+    assert all(flag for w, flag in zip(windows, repeated, strict=True) if windows.count(w) > 1)
+    assert not all(repeated)
+
+
+def test_bytes_that_are_no_text(spark):
+    small_batches(spark)
+    rows = spark.createDataFrame([(1, "61FF2062"), (2, "61FF2062206363"), (3, "7820")], "doc_id long, x string")
+    docs = rows.selectExpr("doc_id", "cast(unhex(x) as string) as text", "x")
+    out = substrings.deduplicated(docs, 2).selectExpr("doc_id", "n_words", "n_removed", "hex(cast(kept as binary))").collect()
+    assert sorted(map(tuple, out)) == [(1, 2, 0, "61FF2062"), (2, 3, 2, "6363"), (3, 1, 0, "78")]
 
 
 def test_edge_rows(spark):
