@@ -9,6 +9,8 @@ import zipfile
 from functools import lru_cache
 from pathlib import Path
 
+import numpy as np
+import zstandard
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -64,6 +66,17 @@ def staged_by(df: DataFrame, key: str, name: str) -> DataFrame:
     return spark.table(table_name)
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Integers as bytes, byte by byte: the high ones are mostly 0."""
+    planes = np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), -1).T
+    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> SparkSession:
     """Whole texts go to Python in batches bounded by rows and bytes; executors get the package."""
     _ship(spark.sparkContext)

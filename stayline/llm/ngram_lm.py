@@ -29,12 +29,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, staged_by
+from .common import packed, staged, staged_by, unpacked
 
 ORDER = 3
 #: Pseudo-counts of the shorter history, by the length of the longer one.
@@ -108,71 +107,57 @@ class Grams:
 class Automaton:
     """The states and arcs that the texts of ``grams`` can reach; ``counts`` are the corpus' counts of its n-grams.
 
-    State 0 has no history, then come the words, then the pairs of words.
+    An arc is an n-gram the corpus has: it leaves the state of its history with its last word.  So the arc by which a token leaves
+    the state of the k words before it is the n-gram of k + 1 words that ends there, if that has a weight.
     """
 
     def __init__(self, grams: Grams, counts: list[np.ndarray], n: int, v: int):
-        words = len(grams.keys[0])
-        self.n_words, total = words, n + v + 1
-        share = (counts[0] + 1) / total
-        first = [1, 1 + words]  # of the states of one word, of two
-        last, history, shorter = grams.last, grams.history, grams.shorter
-        seen = [c > 0 for c in counts]
-        states, symbols, targets, weights = [], [], [], []
-        # from no history; a word never seen keeps it so
-        states.append(np.zeros(words, np.int64))
-        symbols.append(np.arange(words))
-        targets.append(np.where(seen[0], first[0] + np.arange(words), 0))
-        weights.append(share)
-        for k in (1, 2):
-            before = counts[k - 1][history[k]]
-            share = (counts[k] + PRIORS[k] * share[shorter[k]]) / (before + PRIORS[k])
-            own = np.flatnonzero(seen[k])
-            states.append(first[k - 1] + history[k][own])
-            symbols.append(last[k][own])
-            targets.append(first[1] + (own if k == 1 else shorter[k][own]))
-            weights.append(share[own])
-        keys = np.concatenate(states) * words + np.concatenate(symbols)
-        self.arcs = dict(zip(keys.tolist(), range(len(keys)), strict=True))
-        self.target = np.concatenate(targets).tolist()
-        self.weight = np.log10(np.concatenate(weights)).tolist()
-        fail = [np.zeros(1 + words, np.int64), np.where(seen[0][last[1]], first[0] + last[1], 0)]
-        back = [np.zeros(1), *(np.log10(PRIORS[k] / (counts[k - 1] + PRIORS[k])) for k in (1, 2))]
-        self.fail, self.back = np.concatenate(fail).tolist(), np.concatenate(back).tolist()
-        self.first = first[0]
-
-    def score(self, text: list[int]) -> float:
-        """log10 probability of words (places in the automaton's list), which begin with the begin mark."""
-        arcs, target, weight, fail, back, words = self.arcs, self.target, self.weight, self.fail, self.back, self.n_words
-        state, total = self.first + text[0], 0.0
-        for word in text[1:]:
-            arc = arcs.get(state * words + word)
-            while arc is None:
-                total += back[state]
-                state = fail[state]
-                arc = arcs.get(state * words + word)
-            total += weight[arc]
-            state = target[arc]
+        self.grams, self.known = grams, counts[0] > 0
+        share = (counts[0] + 1) / (n + v + 1)
+        self.weight, self.failure = [np.log10(share)], [np.zeros(1)]
+        for k in range(1, len(counts)):
+            share = (counts[k] + PRIORS[k] * share[grams.shorter[k]]) / (counts[k - 1][grams.history[k]] + PRIORS[k])
+            self.weight.append(np.where(counts[k] > 0, np.log10(share), np.nan))
+            self.failure.append(np.log10(PRIORS[k] / (counts[k - 1] + PRIORS[k])))
+
+    def scores(self, starts: list[int], ends: list[int]) -> list[float]:
+        """log10 probabilities of the texts at these tokens, each less its first, the begin mark."""
+        at, tokens = self.grams.at, len(self.grams.at[0])
+        arcs, failures = [self.weight[0][at[0]]], []
+        for k in range(1, len(self.weight)):
+            arcs.append(np.where(at[k] >= 0, self.weight[k][at[k]], np.nan) if len(self.weight[k]) else np.full(tokens, np.nan))
+            failures.append(np.concatenate([[0.0], self.failure[k][at[k - 1][:-1]]]))
+        columns = [c.tolist() for c in (*arcs, *failures, self.known[at[0]])]
+        return [self._walked(*(c[a + 1 : b] for c in columns)) for a, b in zip(starts, ends, strict=True)]
+
+    @staticmethod
+    def _walked(none: list, one: list, two: list, fail_one: list, fail_two: list, known: list) -> float:
+        """Once from left to right: ``state`` is how many words back the automaton's state reaches."""
+        state, total = 1, 0.0
+        for arc_none, arc_one, arc_two, failure_one, failure_two, seen in zip(none, one, two, fail_one, fail_two, known, strict=True):
+            if state == 2:
+                if arc_two == arc_two:  # there is such an arc
+                    total += arc_two
+                    continue
+                total += failure_two
+                state = 1
+            if state == 1:
+                if arc_one == arc_one:
+                    total += arc_one
+                    state = 2
+                    continue
+                total += failure_one
+            total += arc_none
+            state = 1 if seen else 0
         return total
 
 
-def _packed(numbers: np.ndarray) -> bytes:
-    """Integers as bytes, byte by byte: the high ones are mostly 0."""
-    planes = np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), -1).T
-    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
-
-
-def _unpacked(data: bytes, kind: type) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
-
-
 def _ascending(hashes: np.ndarray) -> bytes:
-    return _packed(np.diff(hashes, prepend=np.uint64(0)))
+    return packed(np.diff(hashes, prepend=np.uint64(0)))
 
 
 def _hashes(data: bytes) -> np.ndarray:
-    return np.cumsum(_unpacked(data, np.uint64), dtype=np.uint64)
+    return np.cumsum(unpacked(data, np.uint64), dtype=np.uint64)
 
 
 CHUNKS = "chunk long, words binary, text binary, doc_ids array<long>, held array<boolean>, lengths array<long>"
@@ -190,7 +175,7 @@ def _chunks(docs: DataFrame, held: Column, chunk: int) -> DataFrame:
 
     def flush(number: int, ids: list, outs: list, hashes: list) -> pa.RecordBatch:
         words, text = np.unique(np.concatenate(hashes), return_inverse=True)
-        row = (number, _ascending(words), _packed(text.astype(np.uint32)), ids, outs, [len(h) for h in hashes])
+        row = (number, _ascending(words), packed(text.astype(np.uint32)), ids, outs, [len(h) for h in hashes])
         return _batch(CHUNKS, CHUNK_KINDS, [row])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,11 +202,11 @@ class Chunk:
 
     def __init__(self, row: dict, answers: list[dict], order: int):
         self.lengths = np.array(row["lengths"])
-        self.grams = Grams(_hashes(row["words"])[_unpacked(row["text"], np.uint32)], self.lengths, order)
+        self.grams = Grams(_hashes(row["words"])[unpacked(row["text"], np.uint32)], self.lengths, order)
         self.chosen = np.repeat(~np.array(row["held"]), self.lengths)
         answered: dict[int, list] = {}
         for a in sorted(answers, key=lambda a: (a["order"], a["bucket"])):
-            answered.setdefault(a["order"], []).append(_unpacked(a["counts"], np.int64))
+            answered.setdefault(a["order"], []).append(unpacked(a["counts"], np.int64))
         self.counts: list[np.ndarray] = []
         self.elsewhere: list[np.ndarray] = []
         for k in range(order if answers else 0):
@@ -247,7 +232,7 @@ class Chunk:
         cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
         for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
             if i < j:
-                yield b, number, _ascending(keys[i:j]), _packed(counts[i:j].astype(np.uint32))
+                yield b, number, _ascending(keys[i:j]), packed(counts[i:j].astype(np.uint32))
 
 
 #: A chunk's n-grams of one bucket.
@@ -289,15 +274,15 @@ def _answers(parts: DataFrame, order: int) -> DataFrame:
 
     def add(table: pa.Table) -> pa.Table:
         hashes = [_hashes(d) for d in table.column("hashes").to_pylist()]
-        counts = np.concatenate([_unpacked(d, np.uint32) for d in table.column("counts").to_pylist()])
+        counts = np.concatenate([unpacked(d, np.uint32) for d in table.column("counts").to_pylist()])
         distinct, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
         total = np.zeros(len(distinct), np.int64)
         np.add.at(total, inverse, counts)
         known = int(((total > 0) & (distinct != np.uint64(BEGIN))).sum()) if order == 1 else 0
-        told = total * 2 + (np.bincount(inverse) > 1)
-        packed = [_packed(c) for c in np.split(told[inverse], np.cumsum([len(h) for h in hashes])[:-1])]
+        told_all = total * 2 + (np.bincount(inverse) > 1)
+        told = [packed(c) for c in np.split(told_all[inverse], np.cumsum([len(h) for h in hashes])[:-1])]
         bucket, chunks = table.column("bucket")[0].as_py(), table.column("chunk").to_pylist()
-        rows = [(order, bucket, c, p, None) for c, p in zip(chunks, packed, strict=True)]
+        rows = [(order, bucket, c, p, None) for c, p in zip(chunks, told, strict=True)]
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64()]
         return pa.Table.from_batches([_batch(ANSWERS, kinds, [*rows, (order, bucket, None, None, known)])])
 
@@ -323,7 +308,7 @@ def scores(docs: DataFrame, held: Column, chunk: int = CHUNK, bucket: int = BUCK
 
     def walk(row: dict, found: list[dict]) -> pa.Table:
         own = Chunk(row, found, ORDER)
-        automaton, text, known = Automaton(own.grams, own.counts, n, v), own.grams.at[0], own.counts[0] > 0
+        automaton, text = Automaton(own.grams, own.counts, n, v), own.grams.at[0]
         ends = np.cumsum(own.lengths)
         starts = ends - own.lengths
         token = np.ones(len(text), bool)
@@ -332,10 +317,10 @@ def scores(docs: DataFrame, held: Column, chunk: int = CHUNK, bucket: int = BUCK
             row["doc_ids"],
             row["held"],
             own.lengths - 1,
-            np.add.reduceat((known[text] & token).astype(np.int64), starts),
+            np.add.reduceat((automaton.known[text] & token).astype(np.int64), starts),
             np.full(len(starts), n),
             np.add.reduceat(np.where(token, np.log10((own.counts[0] + 1) / (n + v + 1))[text], 0), starts),
-            [automaton.score(text[a:b].tolist()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)],
+            automaton.scores(starts.tolist(), ends.tolist()),
         ]
         names = [c.split()[0] for c in SCORES.split(", ")]
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
