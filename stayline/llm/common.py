@@ -62,7 +62,7 @@ def staged_by(df: DataFrame, key: str, name: str) -> DataFrame:
     spark = df.sparkSession
     table_name = f"llm_{name}_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(buckets, key).option("path", scratch(spark, name)).saveAsTable(table_name)
+    df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", scratch(spark, name)).saveAsTable(table_name)
     return spark.table(table_name)
 
 

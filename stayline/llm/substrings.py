@@ -9,7 +9,7 @@
    exactly by hash, so a window that a third of all documents share comes once per chunk.
 3. The starts found go back to their chunks, and the covered words go.
 
-The sketch has four to eight cells in a row for each window, at any size: no task and not the driver holds it whole, and the
+The sketch has four cells in a row for each window, at any size: no task and not the driver holds it whole, and the
 text is hashed twice whatever its length.
 
 Defined cases: a null, empty or short text loses nothing; a null id counts as the smallest; rows with one
@@ -45,7 +45,7 @@ CHUNK = 8_000_000
 #: Words that a task hashes at once.
 AT_ONCE = 400_000
 #: Windows of the text for each bucket of candidates.
-BLOCK_WINDOWS = 2_000_000
+BLOCK_WINDOWS = 5_000_000
 #: Distinct words a worker remembers the hashes of.
 KEPT = 500_000
 
@@ -143,11 +143,11 @@ class Sketch:
     def __init__(self, low: np.ndarray, high: np.ndarray, cells: int):
         self.hit, self.more, self.of = [], [], []
         for hashes in (low, high):
-            hit, of, counts = np.unique(hashes & np.uint64(cells - 1), return_inverse=True, return_counts=True)
+            hit, of, counts = np.unique(hashes % np.uint64(cells), return_inverse=True, return_counts=True)
             self.hit.append(hit.astype(np.int64))
             self.more.append(counts > 1)
             self.of.append(of)
-        self.edges = np.arange(0, max(cells, BLOCK) + 1, BLOCK)
+        self.edges = np.arange(0, cells + BLOCK, BLOCK)
 
     def blocks(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Blocks in order, the cells hit there, and which of them more than once."""
@@ -372,7 +372,7 @@ def _all_candidates(chunks: DataFrame, size: int, cells: int, buckets: int) -> D
 
 
 def _cells(windows: int) -> int:
-    return max(1 << 16, 1 << int(4 * windows - 1).bit_length())
+    return max(1 << 16, 4 * windows)
 
 
 def deduplicated(docs: DataFrame, size: int = WINDOW, cells: int | None = None, chunk: int = CHUNK) -> DataFrame:

@@ -54,7 +54,7 @@ def test_filter_stays_sharp_beyond_the_cells(spark):
     rows = [(i, " ".join(f"{rng.getrandbits(32):08x}" for _ in range(60)) + (f" {common}" if i % 3 else "")) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     windows = sum(len(t) for _, t in rows) // 6 + 1
-    cells = 1 << int(4 * windows - 1).bit_length()
+    cells = 4 * windows
     chunks = staged_by(substrings._chunks(df, [], 2000), "chunk", "test")
     assert chunks.count() > 10
     found = substrings._all_candidates(chunks, 5, cells, 1).filter("NOT decided").collect()
