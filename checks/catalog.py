@@ -89,7 +89,7 @@ def procedure_dedup(t):
 
 
 def _echo(t) -> DataFrame:
-    return procedures.per_stay(t["procedureevents"], t["icustay_times"], sink(t.spark))
+    return procedures.per_stay(t["procedureevents"], t["icustay_times"])
 
 
 @query("select * from echo")
@@ -279,7 +279,7 @@ def _wide_stages(t) -> dict[str, DataFrame]:
 def _base(t) -> DataFrame:
     """The cohort as a stage, built once: the queries below start from it."""
     if "cohort_base" not in t:
-        t["cohort_base"] = t.written("cohort_base", study.base(t, _wide_stages(t)))
+        t["cohort_base"] = t.written("cohort_base", study.base(t, _wide_stages(t), t.written))
     return t["cohort_base"]
 
 
@@ -360,12 +360,12 @@ def covariates_wide(t):
 
 @query("select * from base")
 def exposed_only(t):
-    return study.base(t, _wide_stages(t))
+    return study.base(t, _wide_stages(t), sink(t.spark))
 
 
 @query("select stay_id, tte, tte_start1, t as tte_offset, tte_number from first_echo")
 def first_procedure_5d(t):
-    return _procedures(t, study.base(t, _wide_stages(t)))
+    return _procedures(t, study.base(t, _wide_stages(t), sink(t.spark)))
 
 
 @query(

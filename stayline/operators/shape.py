@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -52,10 +53,12 @@ def first_value(value: str, order: list[str], name: str) -> Column:
 
 
 def ordered_pivot(
-    df: DataFrame, key: str, order: list[Column], columns: list[str], count: int
+    df: DataFrame, key: str, order: list[Column], columns: list[str], count: int, same: Sequence[str] = ()
 ) -> DataFrame:
     """``<column>1 .. <column>count`` per key, in order; NULL past the end.
 
+    Columns in ``same`` have one value per key and are kept as they are.
+
     Only the positions that become columns travel: rows past ``count`` are cut map-side
     and no list of a whole group is built.
     """
@@ -66,7 +69,7 @@ def ordered_pivot(
         for i in range(1, count + 1)
         for c in columns
     ]
-    return placed.groupBy(key).agg(*cells)
+    return placed.groupBy(key).agg(*cells, *[F.max(c).alias(c) for c in same])
 
 
 def by_day(day: str, value: str, days: int, name: str) -> list[Column]:

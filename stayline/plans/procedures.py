@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +9,6 @@ from ..functions import codes
 from ..functions.clinical import offset_of
 from ..operators.grid import with_length
 from ..operators.shape import ordered_pivot
-from ..sources.stages import keep
 
 GAP = 60
 COLUMNS = ["tte_offset", "tte_start", "tte_end", "tte_store"]
@@ -40,42 +37,42 @@ def deduplicated(rows: DataFrame, gap: int = GAP) -> DataFrame:
     The row before is any charted one, kept or not, so a chain of close entries counts once.
     Adds the rank ``rn`` within the stay; rows that tie for the first start share rank 1.
 
-    A row with a gap before it is the earliest of its minute, so entries are reduced to one
-    per minute first: the window then sees at most one row per minute of the stay.
+    A row with a gap before it is the earliest of its minute, and the first start is in the first
+    minute.  So each minute is reduced to the rows that share its earliest start: they are dealt once by stay
+    and minute, and the window sees one row per minute of the stay.
     """
-    first = rows.groupBy("stay_id").agg(F.min("tte_start").alias("tte_start"))
-    opening = rows.join(first, ["stay_id", "tte_start"])
-    openings = opening.groupBy("stay_id").agg(F.count(F.lit(1)).alias("_openings"))
-
-    minutes = rows.groupBy("stay_id", "tte_offset").agg(
-        F.min(F.struct("tte_start", "tte_end", "tte_store")).alias("_row")
+    dealt = rows.repartition("stay_id", "tte_offset")
+    starts = dealt.groupBy("stay_id", "tte_offset", "tte_start").agg(
+        F.collect_list(F.struct("tte_end", "tte_store")).alias("ties")
+    )
+    minutes = starts.groupBy("stay_id", "tte_offset").agg(
+        F.min("tte_start").alias("tte_start"), F.min_by("ties", "tte_start").alias("ties")
     )
     along = Window.partitionBy("stay_id").orderBy("tte_offset")
-    later = (
-        minutes.withColumn("_before", F.lag("tte_offset").over(along))
-        .filter(F.col("tte_offset") - F.col("_before") > gap)
-        .join(openings, "stay_id")
-        .withColumn("rn", F.row_number().over(along) + F.col("_openings"))
-        .select("stay_id", "tte_offset", "_row.*", "rn")
+    before = F.lag("tte_offset").over(along)
+    placed = minutes.withColumns(
+        {
+            "_opens": before.isNull(),
+            "_later": F.when(F.col("tte_offset") - before > gap, 1).otherwise(0),
+            "_openings": F.first(F.size("ties")).over(along),
+        }
     )
+    rank = F.when(F.col("_opens"), 1).otherwise(F.sum("_later").over(along) + F.col("_openings"))
+    kept = F.when(F.col("_opens"), F.col("ties")).otherwise(F.array(F.array_min("ties")))
     return (
-        opening.select("stay_id", *COLUMNS)
-        .withColumn("rn", F.lit(1).cast("bigint"))
-        .unionByName(later)
+        placed.withColumn("rn", rank.cast("bigint"))
+        .filter(F.col("_opens") | (F.col("_later") == 1))
+        .select("stay_id", "tte_offset", "tte_start", F.inline(kept), "rn")
     )
 
 
 def table(rows: DataFrame, count: int = 15) -> DataFrame:
     """One row per stay: up to ``count`` procedures side by side and the number of them."""
     order = [F.col(c).asc_nulls_first() for c in COLUMNS]
-    wide = ordered_pivot(rows, "stay_id", order, COLUMNS, count)
-    numbers = rows.groupBy("stay_id").agg(F.max("rn").alias("tte_number"))
-    return wide.join(numbers, "stay_id")
+    numbered = rows.withColumn("tte_number", F.max("rn").over(Window.partitionBy("stay_id")))
+    return ordered_pivot(numbered, "stay_id", order, COLUMNS, count, ["tte_number"])
 
 
-def per_stay(
-    procedureevents: DataFrame, stays: DataFrame, sink: Callable[[str, DataFrame], DataFrame] = keep
-) -> DataFrame:
-    """The whole chain.  Its steps are read several times each, so they may go through a sink."""
-    rows = sink("echo_rows", charted(procedureevents, stays))
-    return table(sink("echo_kept", deduplicated(rows)))
+def per_stay(procedureevents: DataFrame, stays: DataFrame, count: int = 15) -> DataFrame:
+    """The whole chain, in one pass over both tables."""
+    return table(deduplicated(charted(procedureevents, stays)), count)

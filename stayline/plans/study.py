@@ -46,7 +46,7 @@ def stages(tables: Tables, sink: Sink) -> Tables:
         )
 
     def echo() -> Tables:
-        return {"tte": sink("tte", procedures.per_stay(tables["procedureevents"], times, sink))}
+        return {"tte": sink("tte", procedures.per_stay(tables["procedureevents"], times))}
 
     parts = side_by_side({"pressors": pressors, "fluids": fluids, "echo": echo})
     return {name: df for part in parts.values() for name, df in part.items()}
@@ -76,24 +76,29 @@ def side_by_side(steps: dict[str, Callable]) -> dict:
     return {name: results[name] for name in steps}
 
 
-def base(tables: Tables, built: Tables) -> DataFrame:
-    """One wide row per stay of the cohort."""
+def base(tables: Tables, built: Tables, sink: Sink = keep) -> DataFrame:
+    """One wide row per stay of the cohort.
+
+    The exposed stays are read twice, once for their ids, so ``sink`` should store them.
+    """
     t = tables
     stays = cohort.stays_with_outcome(
         t["icustays"], t["icustay_detail"], t["icustay_times"], t["admissions"], t["services"]
     )
     stays = cohort.septic(cohort.eligible(stays, t["diagnoses_icd"]), t["sepsis3"])
     stays = cohort.with_admission(cohort.first_stays(stays), t["admissions"], t["patients"])
+    stays = sink("exposed", cohort.exposed(stays, built["vasopressor"]))
+    ids = stays.select("stay_id")
     return cohort.with_covariates(
-        cohort.exposed(stays, built["vasopressor"]),
+        stays,
         t["first_day_weight"],
         t["apsiii"],
         t["charlson"],
         t["kdigo_stages"],
         t["rrt"],
-        built["vasopressor"],
+        None,
         built["fluid_balance"],
-        cohort.scores_by_day(t["sofa"]),
+        cohort.scores_by_day(t["sofa"].join(ids, "stay_id", "left_semi")),
     )
 
 
@@ -160,5 +165,6 @@ PUBLIC = ("vasopressor_hourly", "vasopressor", "fluid_hourly", "fluid_balance",
 def run(tables: Tables, sink: Sink, limit: int = BLOCK_LIMIT) -> DataFrame:
     """All stages through ``sink``, then the ordered panel."""
     built = stages(tables, sink)
-    cohort_base = sink("cohort_base", base(tables, built))
-    return cohort_panel(tables, built, cohort_base, sink, limit).orderBy("stay_id", "block")
+    cohort_base = sink("cohort_base", base(tables, built, sink))
+    # a sort samples its input first: it reads a stage, so that the joins run once
+    return sink("panel", cohort_panel(tables, built, cohort_base, sink, limit)).orderBy("stay_id", "block")

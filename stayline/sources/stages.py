@@ -53,11 +53,15 @@ class CatalogStages:
     """The same as managed tables of a database.
 
     Only ``public`` names are used as they are; every other stage gets a prefix of this run,
-    so that runs do not collide and no table of the user's is overwritten.
+    so that runs do not collide and no table of the user's is overwritten.  With ``buckets``, tables that have
+    the column ``key`` are bucketed and sorted by it, so that joins and groupings of stages on it need no shuffle;
+    there should be at least as many buckets as shuffle partitions.
     """
 
-    def __init__(self, spark: SparkSession, database: str, public: Iterable[str] = ()):
-        self.spark = spark
+    def __init__(
+        self, spark: SparkSession, database: str, public: Iterable[str] = (), buckets: int = 0, key: str = "stay_id"
+    ):
+        self.spark, self.buckets, self.key = spark, buckets, key
         self.database = database
         self.public = set(public)
         self.prefix = f"run_{uuid4().hex}_"
@@ -67,7 +71,13 @@ class CatalogStages:
         return f"{self.database}.{name if name in self.public else self.prefix + name}"
 
     def __call__(self, name: str, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").saveAsTable(self._table(name))
+        if self.buckets and self.key in df.columns:
+            # dealt as the buckets are, every task writes one file
+            rows = df.repartition(self.buckets, self.key)
+            writer = rows.write.bucketBy(self.buckets, self.key).sortBy(self.key)
+        else:
+            writer = df.write
+        writer.mode("overwrite").saveAsTable(self._table(name))
         self.written.add(name)
         return self.spark.table(self._table(name))
 

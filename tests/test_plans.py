@@ -1,5 +1,7 @@
 """Plans on hand-made stays, their shape, and a stay that holds most of the rows."""
 
+import importlib
+import sys
 from datetime import datetime, timedelta
 from types import SimpleNamespace
 
@@ -7,9 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks.catalog import QUERIES
+from checks.standins import clinical_tables
 from stayline.functions.timing import clock_text
 from stayline.operators.grid import with_length
-from stayline.plans import cohort, fluid, panel, pressor, procedures
+from stayline.plans import cohort, fluid, panel, pressor, procedures, study
 from stayline.sources.stages import CatalogStages, Stages, shared_folder
 from stayline.sources.tables import SCHEMAS, read_catalog, read_parquet
 
@@ -187,6 +190,67 @@ def test_no_join_without_an_equal_key(name, spark, folder):
         assert bad not in plan
 
 
+def test_every_stage_of_the_run_joins_on_equal_keys(spark, folder, tmp_path):
+    plans = {}
+
+    class Recorded(Stages):
+        def __call__(self, name, df):
+            plans[name] = df._jdf.queryExecution().executedPlan().toString()
+            return super().__call__(name, df)
+
+    study.run(clinical_tables(spark, folder), Recorded(spark, str(tmp_path))).count()
+    for plan in plans.values():
+        assert not any(bad in plan for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python"))
+    assert plans["panel"].count("Join ") <= 13  # five of them cut sources to the cohort
+    # the scores are cut to the cohort below their grouping
+    base = plans["cohort_base"]
+    grouped = next(part for part in base.split("HashAggregate(keys=[stay_id") if "sofa_24hours" in part)
+    assert "LeftSemi" in grouped
+    assert base.count("FileScan parquet [stay_id#") >= 1 and "inputevents" not in base
+
+
+def test_procedures_in_one_pass(spark, folder):
+    for name in ("procedure_dedup", "procedure_pivot"):
+        plan = QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 2 and plan.count("Exchange ") <= 3, name
+
+
+def test_exposure_plans_the_infusions_once(spark, folder):
+    tables = clinical_tables(spark, folder)
+    hourly = pressor.hourly(tables["inputevents"], tables["icustay_times"])
+    stays = tables["icustays"].select("stay_id")
+    plan = cohort.exposed(stays, pressor.daily(hourly))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("[stay_id") and sum("itemid" in line and "FileScan" in line for line in plan.splitlines()) == 1
+
+
+def test_ties_at_the_first_procedure(spark):
+    rows_in = [(1, 0, 5), (1, 0, 7), (1, 0, None), (1, 50, 60), (1, 111, 120), (1, 112, 113), (1, 400, 9), (1, 400, 8), (2, 3, 4)]
+    charted = spark.createDataFrame(
+        [(s, o, at(o), at(e), None) for s, o, e in rows_in],
+        "stay_id long, tte_offset long, tte_start timestamp_ntz, tte_end timestamp_ntz, tte_store timestamp_ntz",
+    )
+    kept = procedures.deduplicated(charted)
+    got = sorted(((r.stay_id, r.tte_offset, r.rn, r.tte_end) for r in kept.collect()), key=str)
+    want = [(1, 0, 1, at(5)), (1, 0, 1, at(7)), (1, 0, 1, None), (1, 111, 4, at(120)), (1, 400, 5, at(8)), (2, 3, 1, at(4))]
+    assert got == sorted(want, key=str)
+    assert rows(procedures.table(kept), "stay_id", "tte_number") == [(1, 5), (2, 1)]
+
+
+def test_bucketed_stages_join_without_a_shuffle(spark):
+    spark.sql("create database if not exists stayline_buckets")
+    database = CatalogStages(spark, "stayline_buckets", buckets=8)
+    stays = database("stays", spark.range(500).toDF("stay_id"))
+    hours = database("hours", spark.range(4000).selectExpr("id % 500 as stay_id", "id div 500 as hr"))
+    other = database("other", spark.range(3).toDF("hadm_id"))
+    assert other.count() == 3
+    per_stay = hours.groupBy("stay_id").agg(F.sum("hr").alias("hr"))
+    joined = stays.hint("merge").join(per_stay, "stay_id")
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.filter("hr = 28").count() == 500
+    database.drop()
+    spark.sql("drop database stayline_buckets cascade")
+
+
 def test_item_filter_reaches_the_scan(spark, tmp_path):
     sink = Stages(spark, str(tmp_path))
     inputs = sink("inputevents", table(spark, "inputevents", [given(1, 221906, 0, 9, rate=1.0)]))
@@ -218,6 +282,15 @@ def test_stages_need_a_shared_folder(spark):
     assert Stages(bare, "/some/folder").folder == "/some/folder"
 
 
+def test_entry_survives_a_missing_library(monkeypatch):
+    for name in [m for m in sys.modules if m.split(".")[0] in ("__spark_entry__", "corpus_pipeline") or m.startswith("stayline.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "zstandard", None)  # importing it fails
+    entry = importlib.import_module("__spark_entry__")
+    monkeypatch.delitem(sys.modules, "__spark_entry__")
+    assert set(entry.queries()) == set(entry.oracle_sql()) == set(QUERIES)
+
+
 def test_catalog_stages_keep_public_names_only(spark):
     spark.sql("create database if not exists stayline_test")
     spark.range(9).write.mode("overwrite").saveAsTable("stayline_test.bolus")
@@ -226,7 +299,8 @@ def test_catalog_stages_keep_public_names_only(spark):
         assert database(name, spark.range(2).toDF("stay_id")).count() == 2
     assert spark.table("stayline_test.bolus").count() == 9
     database.drop(but=["tte"])
-    left = {r.tableName for r in spark.sql("show tables in stayline_test").collect()}
+    spark.range(1).createOrReplaceTempView("only_a_view")  # views are listed with every database
+    left = {r.tableName for r in spark.sql("show tables in stayline_test").collect() if not r.isTemporary}
     assert left == {"bolus", "tte"}
     for name in SCHEMAS:
         CatalogStages(spark, "stayline_test", SCHEMAS)(name, table(spark, name, []))
@@ -258,10 +332,19 @@ def test_clock_text_in_a_zone_with_a_gap(spark):
 
 
 def test_sources_of_the_base_are_scanned_once(spark, folder):
-    plan = QUERIES["exposed_only"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
-    for column in ("icd_code", "aki_stage", "dialysis_active", "antibiotic_time"):
-        scans = [line for line in plan.splitlines() if "Relation" in line and f"{column}#" in line]
-        assert len(scans) == 1, column
+    tables, plans = clinical_tables(spark, folder), []
+
+    def recorded(name, df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return tables.written(name, df)
+
+    pressors = pressor.daily(pressor.hourly(tables["inputevents"], tables["icustay_times"]))
+    built = {"vasopressor": pressors, "fluid_balance": fluid.daily(*study.fluid_inputs(tables))}
+    recorded("exposed_base", study.base(tables, built, recorded))
+    for plan, columns in zip(plans, (("icd_code", "antibiotic_time"), ("aki_stage", "dialysis_active")), strict=True):
+        for column in columns:
+            scans = [line for line in plan.splitlines() if "Relation" in line and f"{column}#" in line]
+            assert len(scans) == 1, column
 
 
 def test_hot_stay_is_split(spark, tmp_path):
