@@ -34,14 +34,9 @@ def rate_minutes(
     is the value for an interval that lies in the bucket, ``no_rate`` the one for an interval
     without a rate.
     """
-    begins, ends = start >= low, end <= high
-    return (
-        F.when(rate.isNull(), no_rate)
-        .when(begins & ends, inside)
-        .when(begins, (high - start) * rate)
-        .when(ends, (end - low) * rate)
-        .otherwise((high - low) * rate)
-    )
+    overlap = F.least(end, high) - F.greatest(start, low)
+    whole = (start >= low) & (end <= high)
+    return F.when(rate.isNull(), no_rate).when(whole, inside).otherwise(overlap * rate)
 
 
 def stabbed_minutes(
