@@ -3,9 +3,11 @@
 Vectors get one more component that makes their lengths equal, so the largest inner product is the least
 Euclidean distance.  A Gaussian (2-stable) projection to ``PROJECTED`` dimensions keeps distances in
 distribution: the square of the projected distance over the square of the true one is chi-square.  A kd-tree
-cuts the projected points of a block into leaves; a query visits leaves by the distance of their boxes and
-verifies their vectors, until a nearer vector would lie beyond the next box with a chance below
-``1 - CONFIDENCE``: the next box is farther than the k-th true distance times the chi-square quantile.
+cuts the projected points of a block into leaves.  A query opens leaves by the distance of their boxes and takes up
+points in order of their projected distance, as soon as no unopened box can hold a nearer one; their vectors are
+verified, until a vector nearer than the k-th found would lie beyond the next point with a chance below ``1 - CONFIDENCE``: the next
+point is farther than the k-th true distance times the chi-square quantile.  On unit vectors of 64 dimensions without clusters
+that is about half of all vectors.
 
 The table is cut into blocks of about ``BLOCK_ROWS`` rows and the queries into groups of about
 ``QUERY_ROWS``; each task holds one block and one group, and passes on k rows per query, of which the best
@@ -19,6 +21,7 @@ empty table gives an empty one.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from statistics import NormalDist
 
 import numpy as np
@@ -28,9 +31,11 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-PROJECTED = 10
-CONFIDENCE = 0.98
+PROJECTED = 32
+CONFIDENCE = 0.95
 LEAF = 128
+#: Points verified between two tests.
+STEP = 32
 BLOCK_ROWS = 16_384
 QUERY_ROWS = 2048
 SEED = 11
@@ -62,32 +67,47 @@ class Block:
             axis = int((own.max(axis=0) - own.min(axis=0)).argmax())
             cut = np.argpartition(own[:, axis], len(rows) // 2)
             todo += [rows[cut[: len(rows) // 2]], rows[cut[len(rows) // 2 :]]]
-        self.ids = [ids[rows] for rows in leaves]
-        self.vectors = [vectors[rows] for rows in leaves]
+        self.ids, self.vectors, self.points, self.leaves = ids, vectors, points, leaves
         self.low = np.array([points[rows].min(axis=0) for rows in leaves])
         self.high = np.array([points[rows].max(axis=0) for rows in leaves])
         self.limit = chi_square(CONFIDENCE, PROJECTED)
+        self.verified = 0
 
-    def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and inner products of the k nearest found, but the query's own row."""
-        point = query @ self.plane[:-1]
+    def neighbours(self, point: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows and their squared projected distances, nearest first, as boxes are opened."""
         gaps = np.maximum(0, np.maximum(self.low - point, point - self.high))
         boxes = (gaps**2).sum(axis=1)
+        order = np.argsort(boxes, kind="stable")
+        rows, distances = np.empty(0, np.int64), np.empty(0)
+        for leaf, beyond in zip(order, [*boxes[order[1:]], np.inf], strict=True):
+            rows = np.append(rows, self.leaves[leaf])
+            distances = np.append(distances, ((self.points[self.leaves[leaf]] - point) ** 2).sum(axis=1))
+            near = distances <= beyond
+            if near.any():
+                at = np.argsort(distances[near], kind="stable")
+                yield rows[near][at], distances[near][at]
+                rows, distances = rows[~near], distances[~near]
+
+    def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and inner products of the k nearest found, but the query's own row."""
         own = float((query**2).sum())
         ids, scores = np.empty(0, np.int64), np.empty(0)
-        for leaf in np.argsort(boxes, kind="stable"):
-            if len(ids) == k:
-                reached = own + self.longest - 2 * scores[-1]
-                if boxes[leaf] > reached * self.limit:
-                    break
-            found = (self.vectors[leaf] * query).sum(axis=1)  # the same sum for equal vectors, wherever they are
-            good = self.ids[leaf] != query_id
-            if len(ids) == k:
-                good &= found >= scores[-1]
-            if good.any():
-                ids, scores = np.append(ids, self.ids[leaf][good]), np.append(scores, found[good])
-                order = np.lexsort((ids, -scores))[:k]
-                ids, scores = ids[order], scores[order]
+        for rows, distances in self.neighbours(query @ self.plane[:-1]):
+            for at in range(0, len(rows), STEP):
+                if len(ids) == k:
+                    reached = own + self.longest - 2 * scores[-1]
+                    if distances[at] > reached * self.limit:
+                        return ids, scores
+                some = rows[at : at + STEP]
+                self.verified += len(some)
+                found = (self.vectors[some] * query).sum(axis=1)  # the same sum for equal vectors, wherever they are
+                good = self.ids[some] != query_id
+                if len(ids) == k:
+                    good &= found >= scores[-1]
+                if good.any():
+                    ids, scores = np.append(ids, self.ids[some][good]), np.append(scores, found[good])
+                    order = np.lexsort((ids, -scores))[:k]
+                    ids, scores = ids[order], scores[order]
         return ids, scores
 
 
