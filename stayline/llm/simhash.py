@@ -7,7 +7,8 @@ exact key only, halves that differ in one bit under that bit's key only.
 
 A key that more than ``BUCKET`` fingerprints share is not paired up: its fingerprints are indexed again
 on the undecided half, cut in two in the same way, and so on; the last cut leaves so few free bits that a
-bucket cannot be large.  No link is lost.
+bucket cannot be large.  No link is lost.  Keys are counted by a grouping and the counts joined back, so no task
+holds all of a hot key.
 
 Defined cases: a null, empty or wordless text has the fingerprint 0, which links like any other; equal
 fingerprints are one node, so copies are never paired; repeated rows keep all their rows; a null id
@@ -111,11 +112,13 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     rows = fps.select("fp", F.lit(0).cast("long").alias("bucket"), F.lit(0).alias("base"))
     found = []
     for width in (64, 32, 16, 8):
-        shared = _variants(rows, width).selectExpr("*", "count(1) OVER (PARTITION BY bucket) AS n")
-        shared = staged(shared.filter("n > 1"), "shared")
+        variants = _variants(rows, width)
+        counts = variants.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        # files of such rows are a hundredth of their size in memory, so the joins' sides must not be judged by them
+        shared = staged(variants.join(staged(counts, "counts").hint("merge"), "bucket"), "shared")
         last = width == 8
         few = shared if last else shared.filter(F.col("n") <= bucket)
-        a, b = few.alias("a"), few.alias("b")
+        a, b = few.alias("a"), few.alias("b").hint("merge")
         met = F.expr("a.bucket = b.bucket AND a.fp > b.fp AND (a.bit = 2 OR a.bit <> b.bit)")
         near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= RADIUS
         found.append(a.join(b, met).filter(near).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")))

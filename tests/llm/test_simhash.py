@@ -1,5 +1,7 @@
 import random
+from itertools import combinations
 
+import numpy as np
 import xxhash
 
 from stayline.llm import simhash
@@ -47,6 +49,24 @@ def test_links_against_brute_force_at_any_bucket_limit(spark):
         assert {tuple(r) for r in simhash.links(df, bucket).collect()} == wanted
 
 
+def test_links_under_one_hot_key_against_every_wiped_bit(spark):
+    """100,000 fingerprints share their upper half; every one is looked up with every choice of up to three bits changed."""
+    small_batches(spark)
+    low = np.unique(np.random.default_rng(9).integers(0, 1 << 32, 100_000, np.uint32))
+    low = np.unique(np.append(low, low[:500] ^ np.uint32(1 << 7)))
+    high = 0x1234ABCD << 32
+    wanted = set()
+    for n in (1, 2, 3):
+        for bits in combinations(range(32), n):
+            other = low ^ np.uint32(sum(1 << b for b in bits))
+            at = np.minimum(np.searchsorted(low, other), len(low) - 1)
+            met = (low[at] == other) & (low > other)
+            wanted |= set(zip(low[met].tolist(), other[met].tolist(), strict=True))
+    df = spark.createDataFrame([(high | int(v),) for v in low], "fp long")
+    found = [(r.u - high, r.v - high) for r in simhash.links(df).collect()]
+    assert len(wanted) > 5000 and len(found) == len(wanted) and set(found) == wanted
+
+
 def test_components_of_edge_rows(spark):
     small_batches(spark)
     base = " ".join(f"word{i}" for i in range(400))
