@@ -114,8 +114,9 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     for width in (64, 32, 16, 8):
         variants = _variants(rows, width)
         counts = variants.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        # files of such rows are a hundredth of their size in memory, so the joins' sides must not be judged by them
-        shared = staged(variants.join(staged(counts, "counts").hint("merge"), "bucket"), "shared")
+        # files of such rows are a hundredth of their size in memory, so no side is broadcast by it; the counts, one
+        # row a key, spread evenly and are hashed, which spares the variants a sort
+        shared = staged(variants.join(staged(counts, "counts").hint("shuffle_hash"), "bucket"), "shared")
         last = width == 8
         few = shared if last else shared.filter(F.col("n") <= bucket)
         a, b = few.alias("a"), few.alias("b").hint("merge")
