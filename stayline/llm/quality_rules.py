@@ -52,12 +52,18 @@ QUOTES = (
 )
 CLOSED = rf"[{ENDS}][{QUOTES}]*[\x20\x09-\x0D]*\z"
 SHOUT = r"[!?][!?]+"
-#: Stock phrases, in ASCII letters of either case.
+#: Stock phrases of English, German, French and Spanish pages; ASCII letters count in either case.
 PHRASES = re.sub(
     "[a-z]",
     lambda m: f"[{m[0].upper()}{m[0]}]",
     "(?:all rights reserved|cookie policy|privacy policy|terms of (?:use|service)|click here|read more"
-    "|sign (?:in|up)|log ?in|subscribe (?:now|to)|enable javascript|skip to (?:main )?content|share (?:this|on))",
+    "|sign (?:in|up)|log ?in|subscribe (?:now|to)|enable javascript|skip to (?:main )?content|share (?:this|on)"
+    "|alle rechte vorbehalten|datenschutz(?:erkl(?:ä|Ä)rung|hinweise|richtlinie)|hier klicken|mehr lesen|weiterlesen"
+    "|jetzt (?:anmelden|abonnieren|registrieren)|javascript aktivieren|zum inhalt springen"
+    "|tous droits r(?:é|É|e)serv(?:é|É|e)s|politique de confidentialit(?:é|É|e)|mentions l(?:é|É|e)gales|cliquez ici"
+    "|lire la suite|en savoir plus|se connecter|abonnez-vous|activer javascript|aller au contenu"
+    "|todos los derechos reservados|pol(?:í|Í|i)tica de (?:privacidad|cookies)|aviso legal|haga clic aqu(?:í|Í|i)"
+    "|leer m(?:á|Á|a)s|iniciar sesi(?:ó|Ó|o)n|suscr(?:í|Í|i)base|activar javascript|ir al contenido)",
 )
 #: What but a space may stand next to a phrase: ends of words, spelled out, as Java and DuckDB differ on \b beside letters like é.
 EDGE = (

@@ -73,6 +73,9 @@ PHRASED = [
     ("\t(Read more…)", False), ("“Click here”\x0b for it.", False), ("one two three/sign in/ four.", False), ("Skip to main content.", False),
     ("Log in, sign up, read more. " * 30, False), ("sign in sign up " * 30, False), ("x" * 5000 + " read more " + "y" * 5000, False),
     (("read more " + "w " * 12) * 400, True), ("read\xa0more is no phrase.", True), ("Share this👉 now.", False),
+    ("Alle Rechte vorbehalten.", False), ("Datenschutzerklärung, hier.", False), ("Jetzt Anmelden!", False), ("Die Datenschutzerklärungen alle.", True),
+    ("Tous droits réservés.", False), ("TOUS DROITS RÉSERVÉS.", False), ("Lire la suite…", False), ("Lire la suitée ensuite.", True),
+    ("POLÍTICA DE PRIVACIDAD.", False), ("Haga clic aquí.", False), ("Leer más.", False), ("Leer másа.", True), ("Weiterlesend kam der Zug an.", True),
 ]
 
 
