@@ -53,18 +53,23 @@ QUOTES = (
 CLOSED = rf"[{ENDS}][{QUOTES}]*[\x20\x09-\x0D]*\z"
 SHOUT = r"[!?][!?]+"
 #: Stock phrases of English, German, French and Spanish pages; ASCII letters count in either case.
-PHRASES = re.sub(
-    "[a-z]",
-    lambda m: f"[{m[0].upper()}{m[0]}]",
-    "(?:all rights reserved|cookie policy|privacy policy|terms of (?:use|service)|click here|read more"
-    "|sign (?:in|up)|log ?in|subscribe (?:now|to)|enable javascript|skip to (?:main )?content|share (?:this|on)"
-    "|alle rechte vorbehalten|datenschutz(?:erkl(?:ä|Ä)rung|hinweise|richtlinie)|hier klicken|mehr lesen|weiterlesen"
-    "|jetzt (?:anmelden|abonnieren|registrieren)|javascript aktivieren|zum inhalt springen"
+PHRASE_LIST = (
+    "all rights reserved|cookie policy|privacy policy|terms of use|terms of service|click here|read more"
+    "|sign in|sign up|log ?in|subscribe now|subscribe to|enable javascript|skip to (?:main )?content|share this|share on"
+    "|alle rechte vorbehalten|datenschutzerkl[äÄ]rung|datenschutzhinweise|datenschutzrichtlinie|hier klicken|mehr lesen"
+    "|weiterlesen|jetzt anmelden|jetzt abonnieren|jetzt registrieren|javascript aktivieren|zum inhalt springen"
     "|tous droits r(?:é|É|e)serv(?:é|É|e)s|politique de confidentialit(?:é|É|e)|mentions l(?:é|É|e)gales|cliquez ici"
     "|lire la suite|en savoir plus|se connecter|abonnez-vous|activer javascript|aller au contenu"
-    "|todos los derechos reservados|pol(?:í|Í|i)tica de (?:privacidad|cookies)|aviso legal|haga clic aqu(?:í|Í|i)"
-    "|leer m(?:á|Á|a)s|iniciar sesi(?:ó|Ó|o)n|suscr(?:í|Í|i)base|activar javascript|ir al contenido)",
+    "|todos los derechos reservados|pol(?:í|Í|i)tica de privacidad|pol(?:í|Í|i)tica de cookies|aviso legal"
+    "|haga clic aqu(?:í|Í|i)|leer m(?:á|Á|a)s|iniciar sesi(?:ó|Ó|o)n|suscr(?:í|Í|i)base|activar javascript|ir al contenido"
 )
+
+
+def _either_case(pattern: str) -> str:
+    return re.sub("[a-z]", lambda m: f"[{m[0].upper()}{m[0]}]", pattern)
+
+
+PHRASES = _either_case(f"(?:{PHRASE_LIST})")
 #: What but a space may stand next to a phrase: ends of words, spelled out, as Java and DuckDB differ on \b beside letters like é.
 EDGE = (
     r"\x00-\x08\x0E-\x1F!-/:-@\[-^`{-\x{A9}\x{AB}-\x{B4}\x{B6}-\x{B9}\x{BB}-\x{BF}\x{D7}\x{F7}\x{2000}-\x{2BFF}"
@@ -91,6 +96,23 @@ def _short_with_phrase(others: int) -> str:
 
 
 BOILERPLATE = _short_with_phrase(MAX_OTHER_WORDS)
+
+
+def _suspect() -> str:
+    """What every match of SEPARATOR or BOILERPLATE holds: a mark, or a phrase that no ASCII letter or digit precedes.
+
+    One cheap scan: the first three characters are asked for before the phrases, and those by first letter.
+    """
+    phrases = re.split(r"\|(?![^(]*\))", PHRASE_LIST)
+    starts = "".join(f"[{''.join(sorted({c for p in phrases for c in (p[k], p[k].upper())}))}]" for k in range(3))
+    rest: dict[str, list[str]] = {}
+    for phrase in phrases:
+        rest.setdefault(phrase[0], []).append(phrase[1:])
+    found = "|".join(f"{first}(?:{'|'.join(ends)})" for first, ends in rest.items())
+    return rf"[|>»•·/]|::|(?={starts})(?<![A-Za-z0-9_])(?:{_either_case(found)})"
+
+
+SUSPECT = _suspect()
 ADDED = [
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_kept_words", "kept",
     "clean_text",
@@ -147,7 +169,7 @@ def _line_stays(line: Column, n: Column) -> Column:
         & (100 * _count(line, SHOUT) <= MAX_SHOUTS_PERCENT * n)
     )
     navigation = 100 * _count(line, SEPARATOR) <= MAX_SEPARATORS_PERCENT * n
-    return punctuation & navigation & ~line.rlike(BOILERPLATE)
+    return punctuation & (~line.rlike(SUSPECT) | (navigation & ~line.rlike(BOILERPLATE)))
 
 
 def _verdict(text: Column) -> Column:

@@ -3,6 +3,7 @@ import re
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from stayline.llm import quality_rules as q
 from stayline.llm.queries import OP10_SQL
@@ -99,6 +100,18 @@ def test_phrases_fail_lines_that_they_make_up(spark):
     assert kept == by_sql(texts) and kept[len(PHRASED)]
 
 
+def test_lines_without_a_suspect_hold_no_separator_and_no_phrase(spark):
+    phrases = [p.replace(" ?", " ").replace("(?:main )?", "") for p in re.split(r"\|(?![^(]*\))", q.PHRASE_LIST)]
+    phrases = [re.sub(r"\(\?:(.)[^)]*\)|\[(.).\]", r"\1\2", p) for p in phrases] + ["POLÍTICA DE COOKIES", "login", "|", "::", ">>", "/"]
+    assert all(re.search(q.PHRASES, p) for p in phrases[:-4])
+    around = ["", " ", "a", "é", "_", "7", "-", "“", "\xa0", "👉", "。", "\x0b", "a ", " a", "(", "|"]
+    lines = [a + p + b for p in phrases for a in around for b in around]
+    patterns = [F.col("x").rlike(getattr(q, name)).alias(name) for name in ("SUSPECT", "SEPARATOR", "BOILERPLATE")]
+    found = spark.createDataFrame([(x,) for x in lines], "x string").select("x", *patterns).collect()
+    assert any(r.BOILERPLATE for r in found) and any(r.SEPARATOR for r in found) and not all(r.SUSPECT for r in found)
+    assert [r.x for r in found if (r.SEPARATOR or r.BOILERPLATE) and not r.SUSPECT] == []
+
+
 @pytest.mark.parametrize("end", ["。", "！", "？", "。」", "！』）", "｡", "؟", "۔", "।", "።", "។", "။", "։", "…", ".\"", "？  "])
 def test_lines_of_other_scripts_are_closed_by_their_own_marks(spark, end):
     lines = [f"这是第{i}行文字，没有空格" for i in range(60)]
