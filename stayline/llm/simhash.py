@@ -158,7 +158,10 @@ def keep_first(docs: DataFrame) -> DataFrame:
     have no order and stay.
     """
     named = _members(docs, hashed=True).filter(F.col("doc_id") == F.col("component_id"))
-    first = named.groupBy("root").agg(F.min("doc_id").alias("doc_id"), F.min("_text_hash").alias("_text_hash"))
-    rows = docs.withColumn("_text_hash", _text_hash()).join(first, ["doc_id", "_text_hash"], "left_semi")
-    rows = rows.dropDuplicates(["doc_id", "_text_hash"]).select(docs.columns)
+    texts = named.groupBy("root", "doc_id", "_text_hash").agg(F.count(F.lit(1)).alias("_n"))
+    least = texts.groupBy("root").agg(F.min(F.struct("_text_hash", "doc_id", "_n")).alias("least")).select("least.*")
+    first = staged(least, "first").hint("shuffle_hash")  # whole texts are neither sorted for this nor grouped
+    rows = docs.withColumn("_text_hash", _text_hash()).join(first, ["doc_id", "_text_hash"])
+    again = rows.filter("_n > 1").dropDuplicates(["doc_id", "_text_hash"])
+    rows = rows.filter("_n = 1").unionByName(again).select(docs.columns)
     return rows.unionByName(docs.filter("doc_id IS NULL"))
