@@ -111,6 +111,32 @@ def test_hourly_balance_adds_up(spark):
     ]
 
 
+def _odd_stays(spark):
+    """Stays of unknown and negative length, without a key, and twice with other times or no end."""
+    stays = [(1, T0, at(500)), (2, T0, at(300)), (3, T0, None), (4, T0, at(-90)), (5, T0, at(0)), (None, T0, at(130))]
+    stays += [(6, T0, at(900)), (6, at(200), at(260)), (7, T0, at(400)), (7, at(60), None), (8, T0, at(240)), (8, T0, at(240))]
+    return table(spark, "icustay_times", stays)
+
+
+def _spreads(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Generate explode(sequence(")
+
+
+def test_pressor_hours_of_odd_stays(spark):
+    """Every hour of a stay once, and none is made before the last shuffle."""
+    stays = _odd_stays(spark)
+    inputs = table(spark, "inputevents", [given(s, 221906, 70, 100, rate=2.0) for s in (1, 4, 6, 8)])
+    hours = pressor.hourly(inputs, stays)
+    lengths = with_length(stays).filter("los_min >= 0")
+    want = {(r.stay_id, h) for r in lengths.collect() for h in range(r.los_min // 60 + 1)}
+    got = [tuple(r) for r in hours.select("stay_id", "hr").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    found = rows(hours.filter("noradrenalin > 0"), "stay_id", "hr", "noradrenalin")
+    assert found == [(1, 1, 1.0), (8, 1, 1.0)]  # of the two offsets in stay 6 the earlier counts, before it
+    assert hours.filter("dobutamin is null or vasopressor_rate is null").count() == 0
+    assert _spreads(hours) == 1  # the infusions; not the grid
+
+
 def test_daily_gates(spark):
     stays = times(spark, s1=5000, s2=1440)
     inputs = table(
