@@ -137,6 +137,15 @@ def test_pressor_hours_of_odd_stays(spark):
     assert _spreads(hours) == 1  # the infusions; not the grid
 
 
+def test_small_rows_are_dealt_before_they_are_spread(spark, folder):
+    """Rows that grow by every hour of a stay come from all cores, not from one small file."""
+    tables = clinical_tables(spark, folder)
+    for name in ("sofa", "oxygen_treat"):
+        made = tables.derive(name)
+        assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        assert made.count() == tables[name].count()
+
+
 def test_daily_gates(spark):
     stays = times(spark, s1=5000, s2=1440)
     inputs = table(
