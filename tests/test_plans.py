@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from checks.catalog import QUERIES
 from checks.standins import clinical_tables
 from stayline.functions.timing import clock_text
-from stayline.operators.grid import with_length
+from stayline.operators.grid import hour_grid, with_length
 from stayline.plans import cohort, fluid, panel, pressor, procedures, study
 from stayline.sources.stages import CatalogStages, Stages, shared_folder
 from stayline.sources.tables import SCHEMAS, read_catalog, read_parquet
@@ -137,6 +137,23 @@ def test_pressor_hours_of_odd_stays(spark):
     assert _spreads(hours) == 1  # the infusions; not the grid
 
 
+def test_fluid_hours_of_odd_stays(spark):
+    """Every hour of a stay once, whatever voids it has, without grid rows in the grouping."""
+    stays = _odd_stays(spark)
+    nothing = [table(spark, n, []) for n in ("outputevents", "chartevents")]
+    inputs = table(spark, "inputevents", [given(2, 226453, 130, 170, 40.0, rate=60.0, rate_unit="mL/hour")])
+    charted = [(1, 60), (1, 200), (1, 9000), (2, -50), (2, -10), (5, 0), (6, 700), (6, 890), (7, 300), (8, 90)]
+    urine = table(spark, "urine_output", [(s, at(m), 6.0) for s, m in charted])
+    want = {tuple(r) for r in hour_grid(with_length(stays)).collect()}
+    for voided in (urine, urine.limit(0)):
+        hours = fluid.hourly(inputs, *nothing, voided, stays)
+        got = [tuple(r) for r in hours.select("stay_id", "hr").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        assert rows(hours.filter("hourly_intake > 0"), "stay_id", "hr", "hourly_intake") == [(2, 2, 40)]
+        assert hours.filter("hourly_balance is null or est_cumm_hourly_balance is null").count() == 0
+        assert _spreads(hours) == 2  # what was given, and from void to void
+
+
 def test_small_rows_are_dealt_before_they_are_spread(spark, folder):
     """Rows that grow by every hour of a stay come from all cores, not from one small file."""
     tables = clinical_tables(spark, folder)
