@@ -32,12 +32,12 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, ids: bo
     """Encode documents, append the end id, cut those over ``capacity``; ``ids`` adds the pieces' ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(vocabulary).encode
+        ids_of = encoder(vocabulary).encode_all
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows, parts = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                stream = ids_of(text) + end
+            for doc_id, ids_found in zip(batch.column(0).to_pylist(), ids_of(batch.column(1).to_pylist()), strict=True):
+                stream = ids_found + end
                 for piece, at in enumerate(range(0, len(stream), 4 * capacity)):
                     part = stream[at : at + 4 * capacity]
                     rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))

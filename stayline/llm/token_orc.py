@@ -39,13 +39,13 @@ def write(
     rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(vocabulary).encode
+        ids_of = encoder(vocabulary).encode_all
         end = np.array([end_id], "<u4").tobytes()
         place = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            found = [ids_of(text) + end for text in batch.column(1).to_pylist()]
+            found = [ids + end for ids in ids_of(batch.column(1).to_pylist())]
             lengths = np.array([len(x) // 4 for x in found])
             ends = np.cumsum(lengths)
             lists = pa.ListArray.from_arrays(

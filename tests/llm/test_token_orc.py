@@ -81,3 +81,33 @@ def test_query(spark, folder, library):
 
     docs = sorted(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect())
     assert sorted(map(tuple, op1_token_orc(spark, folder).collect())) == expected(docs, library)
+
+
+def test_a_batch_asks_for_a_part_once_and_keeps_what_is_in_use(library, monkeypatch):
+    texts = [f"Common word, {chr(97 + i % 26) * (i % 9 + 1)}! É{chr(224 + i % 30)}ß. <|endoftext|>x'{i}" for i in range(400)]
+    texts += [None, "", " \t", " ,a.. .b) .", "ﬁ, K̊. é́x; \x1c\xa0y", "word", "word"]
+    wanted = [library.whole(t or "") for t in texts]
+    raw = [t if t is None else t.encode() for t in texts]
+    own, asked, calls = WhiteSpaceEncoder(PATH), [], []
+    for name in ("_ask", "_spell"):
+        monkeypatch.setattr(own, name, lambda *a, f=getattr(own, name): (calls.append(f), asked.extend(a[0]), f(*a)))
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_all(raw)] == wanted
+    assert len(calls) == 2 and len(asked) == len(set(asked)) and b"word" in asked
+    # a full store becomes the store before, which still serves what turns up again
+    monkeypatch.setattr("stayline.llm.wordpiece.KEPT", 3)
+    asked.clear()
+    for _ in range(3):
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_all(raw)] == wanted
+    assert not asked
+    own.encode_all([b"aa bb cc dd"])
+    own.encode_all([b"dd ee"])
+    assert b"word" not in own.ids and asked.count(b"dd") <= 1
+
+
+def test_plain_letters_as_by_the_library(library):
+    rng, own = random.Random(2), WhiteSpaceEncoder(PATH)
+    letters = "abcdefghijklmnopqrstuvwxyzABCÀÁÇÉÑÖÜßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ×÷ªºµŸſ"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    texts = [" ".join(words[i : i + 10]) + rng.choice([",", "...", " ", ""]) for i in range(0, 3000, 10)]
+    found = own.encode_all([t.encode() for t in texts])
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [library.whole(t) for t in texts]
